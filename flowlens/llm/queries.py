@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from .exact_dedup import exact_dedup
+from pyspark.sql import functions as F
+
+from . import html_extract, mixing, quality
 from ._base import table
+from .exact_dedup import exact_dedup
+
+
+def op1_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_source_mixing(spark, sf_dir):
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
+
+
+def op4_html_extraction(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op4_html_extraction, op6_exact_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
