@@ -24,10 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, costs one write."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
+    """As :func:`cut`, with the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

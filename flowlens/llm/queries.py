@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, mixing, quality
-from ._base import table
+from . import chat, html_extract, mixing, quality, token_store
+from ._base import shared_dir, table
 from .exact_dedup import exact_dedup
 
 
@@ -28,6 +31,12 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_token_output(spark, sf_dir):
+    path = f"{shared_dir(spark)}/flowlens/store-{uuid.uuid4().hex}"
+    token_store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.stored_documents(spark, path)
+
+
 def op9_chat_formatting(spark, sf_dir):
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role)").withColumn("text", F.lit(said))
@@ -41,7 +50,7 @@ def op9_chat_formatting(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op4_html_extraction, op6_exact_dedup, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op4_html_extraction, op6_exact_dedup, op7_token_output, op9_chat_formatting)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
