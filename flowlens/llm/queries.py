@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, mixing, quality, token_store
+from . import chat, html_extract, mixing, quality, token_store, word_bpe
 from ._base import shared_dir, table
 from .exact_dedup import exact_dedup
 
@@ -23,6 +23,10 @@ def op2_source_mixing(spark, sf_dir):
     return rows.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
+def op3_bpe_roundtrip(spark, sf_dir):
+    return word_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 def op4_html_extraction(spark, sf_dir):
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op9_chat_formatting(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op4_html_extraction, op6_exact_dedup, op7_token_output, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_bpe_roundtrip, op4_html_extraction, op6_exact_dedup, op7_token_output, op9_chat_formatting)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
