@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, mixing, quality, token_store, word_bpe
+from . import chat, html_extract, mixing, ngram_join, quality, token_store, word_bpe
 from ._base import shared_dir, table
 from .exact_dedup import exact_dedup
 
@@ -31,6 +31,10 @@ def op4_html_extraction(spark, sf_dir):
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -54,7 +58,7 @@ def op9_chat_formatting(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_bpe_roundtrip, op4_html_extraction, op6_exact_dedup, op7_token_output, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_bpe_roundtrip, op4_html_extraction, op5_ngram_join, op6_exact_dedup, op7_token_output, op9_chat_formatting)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
