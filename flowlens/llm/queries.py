@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, line_dedup, mixing, ngram_join, quality, token_store, word_bpe
+from . import chat, html_extract, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_store, word_bpe
 from ._base import shared_dir, table
 from .exact_dedup import exact_dedup
 
@@ -45,6 +45,10 @@ def op7_token_output(spark, sf_dir):
     return token_store.stored_documents(spark, path)
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark, sf_dir):
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role)").withColumn("text", F.lit(said))
@@ -62,7 +66,7 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_bpe_roundtrip, op4_html_extraction, op5_ngram_join, op6_exact_dedup, op7_token_output, op9_chat_formatting, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_bpe_roundtrip, op4_html_extraction, op5_ngram_join, op6_exact_dedup, op7_token_output, op8_suffix_dedup, op9_chat_formatting, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_chat_formatting": r"""
