@@ -2,79 +2,113 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._base import cut, drop_path, running_start, texts, written
+from ._base import cut, drop_path, running_start, texts
 
 #: Ids are stored as unsigned little-endian integers of two bytes, and so must be below this.
 WIDTH, LIMIT = "<u2", 1 << 16
-#: A byte-level pre-tokenizer always begins a piece at a single space between two characters that are not white space.
-PIECES = re.compile(r"(?<=\S) (?=\S)")
+#: A byte-level pre-tokenizer always begins a new word at a single space or line feed between two other characters.
+#: Texts in which all white space is like that are cut there; others are encoded as they are.
+#: What the pre-tokenizer's pattern amounts to on a piece of Latin characters, for which letters and digits are plain ranges.
+LETTERS, DIGITS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\n")
+LATIN_PIECE = re.compile(r"[ \n]?[!-~\u00a1-\u024f]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece between single spaces once.
+    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece and word once while it stays known.
 
-    Cutting at single spaces never changes the ids: the pre-tokenizer puts such a space in front of the word that
-    follows. New pieces are encoded many at a time, with line feeds between, whose id is the same everywhere.
+    Cutting at single spaces and line feeds never changes the ids. A piece of Latin characters is split into words
+    here and its new words go to the library's model; any other piece, and one with an added token's mark, goes
+    through the library's whole chain.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
+        class Known(dict):
+            def __init__(self, before):
+                self.before = before
+
+            def __missing__(self, piece):
+                ids = self[piece] = encode(self.before + piece)
+                return ids
+
+        encode = self._piece
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def _plain(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, WIDTH) for x in pieces]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode new pieces, given with the space in front of them."""
-        odd = [x for x in pieces if x[1:].split() != [x[1:]]]  # with white space inside, so that line feeds may join it
-        even = list(pieces.difference(odd))
-        for lo in range(0, len(even), 20_000):
-            part = even[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, WIDTH)
-            ends = np.flatnonzero(ids == self.feed)
-            got = np.split(ids, ends)
-            if len(got) != len(part):
-                raise RuntimeError("the vocabulary joins line feeds with other characters")
-            self.known.update(zip(part, (g[i > 0 :].tobytes() for i, g in enumerate(got)), strict=True))
-        self.known.update(zip(odd, (x.tobytes() for x in self._plain(odd)), strict=True))
+        self.model = self.tokenizer.model
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > LIMIT:
+            raise ValueError(f"ids must be below {LIMIT}")
+        self.most, self.letters = most, byte_letters()
+        self.spaced, self.fed, self.words = Known(" "), Known("\n"), {}
+        self.bytes = [k.to_bytes(2, "little") for k in range(LIMIT)]
+
+    def _piece(self, piece: str) -> bytes:
+        if LATIN_PIECE.fullmatch(piece) and "<|" not in piece:
+            return b"".join([self.words.get(w) or self._word(w) for w in LATIN_WORDS.findall(piece)])
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, WIDTH).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        ids = self.words[word] = b"".join([self.bytes[t.id] for t in tokens])
+        return ids
 
     def encode(self, text: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        split = [PIECES.split(x) for x in text]
-        first = self._plain([x[0] for x in split])
-        if len(self.known) > self.most:
-            self.known.clear()
-        rest = [[f" {y}" for y in x[1:]] for x in split]
-        self.learn(set(chain.from_iterable(rest)).difference(self.known))
-        get = self.known.__getitem__
-        return [a.tobytes() + b"".join(map(get, b)) for a, b in zip(first, rest, strict=True)]
-
-
-def boundaries(ids: np.ndarray, bits: int = 8, window: int = 16, longest: int = 4096) -> np.ndarray:
-    """Ends of chunks: where a rolling hash of the last ``window`` ids has ``bits`` zero bits, at ``longest`` ids at most, and at the end."""
+        for known in (self.spaced, self.fed, self.words):
+            if len(known) > self.most:
+                known.clear()
+        spaced, fed = self.spaced.__getitem__, self.fed.__getitem__
+        out = []
+        for x in text:
+            if len(x.split()) != x.count(" ") + x.count("\n") + 1:
+                out.append(np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, WIDTH).tobytes())
+                continue
+            ids = []
+            for k, line in enumerate(x.split("\n")):
+                first, *rest = line.split(" ")
+                ids.append(fed(first) if k else self._piece(first) if first else b"")
+                ids += map(spaced, rest)
+            out.append(b"".join(ids))
+        return out
+
+
+def boundaries(ids: np.ndarray, ends: np.ndarray, bits: int = 8, window: int = 16, longest: int = 4096) -> np.ndarray:
+    """Ends of the chunks of texts whose ids lie one after the other in ``ids``, up to ``ends``.
+
+    A chunk ends where a rolling hash of the last ``window`` ids has ``bits`` zero bits (never in the first ids of a
+    text, so that where a text stands doesn't matter), after ``longest`` ids at most, and at the end of its text.
+    """
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     rolling = mixed.copy()
     for k in range(1, min(window, len(ids))):
         rolling[k:] += mixed[:-k] << np.uint64(k)
-    ends = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
-    ends = np.union1d(ends, [len(ids)])
+    cut_at = (rolling >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0
     starts = np.concatenate([[0], ends[:-1]])
-    if len(long := np.flatnonzero(ends - starts > longest)):
-        ends = np.union1d(ends, np.concatenate([np.arange(starts[i] + longest, ends[i], longest) for i in long]))
-    return ends
+    for k in range(window - 1):
+        cut_at[np.minimum(starts + k, len(ids) - 1)] = False
+    cut_at[ends - 1] = True
+    out = np.flatnonzero(cut_at) + 1
+    begin = np.concatenate([[0], out[:-1]])
+    if len(long := np.flatnonzero(out - begin > longest)):
+        out = np.union1d(out, np.concatenate([np.arange(begin[i] + longest, out[i], longest) for i in long]))
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -86,7 +120,10 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, root, chunks``: each text's ids with ``end_id`` behind them, cut into chunks ``sha, ids``."""
+    """Rows ``row, doc_id, pos, sha, n, ids``: each text's ids with ``end_id`` behind them, cut into chunks.
+
+    ``row`` tells rows of ``docs`` apart. A task gives the ids of equal chunks once, the others have null.
+    """
 
     def run(batches):
         import os
@@ -94,25 +131,30 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = PieceEncoder(tokenizer_path)
+        encoder, given = PieceEncoder(tokenizer_path), set()
         tail = np.array([end_id], WIDTH).tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                n, roots, chunks = [], [], []
-                for raw in encoder.encode(part.column(1).to_pylist()):
-                    ids = np.frombuffer(raw + tail, WIDTH)
-                    n.append(len(ids))
-                    ends = boundaries(ids)
-                    own = [c.tobytes() for c in np.split(ids, ends[:-1])]
-                    shas = [hashlib.sha256(c).digest() for c in own]
-                    roots.append(merkle(shas))
-                    chunks.append([{"sha": s, "ids": c} for s, c in zip(shas, own, strict=True)])
-                kind = pa.list_(pa.struct([("sha", pa.binary()), ("ids", pa.binary())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(roots, pa.binary()), pa.array(chunks, kind)], names=["doc_id", "n_tokens", "root", "chunks"])
-
-    src = texts(docs, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, root binary, chunks array<struct<sha: binary, ids: binary>>")
+                own = [x + tail for x in encoder.encode(part.column(1).to_pylist())]
+                data = b"".join(own)
+                last = np.cumsum([len(x) for x in own]) // 2
+                ends = boundaries(np.frombuffer(data, WIDTH), last)
+                starts = np.concatenate([[0], ends[:-1]])
+                of = np.searchsorted(last, starts, side="right")
+                pos = np.arange(len(ends)) - np.searchsorted(of, of)
+                ids, shas = [], []
+                for i, j in zip((2 * starts).tolist(), (2 * ends).tolist(), strict=True):
+                    chunk = data[i:j]
+                    sha = hashlib.sha256(chunk).digest()
+                    shas.append(sha)
+                    ids.append(None if sha in given else chunk)
+                    given.add(sha)
+                at = pa.array(of)
+                yield pa.RecordBatch.from_arrays([part.column(2).take(at), part.column(0).take(at), pa.array(pos.astype(np.int32)), pa.array(shas, pa.binary()), pa.array((ends - starts).astype(np.int32)), pa.array(ids, pa.binary())], names=["row", "doc_id", "pos", "sha", "n", "ids"])
+
+    src = texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    return src.mapInArrow(run, f"row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, pos int, sha binary, n int, ids binary")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -122,18 +164,49 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     id, its place in the whole stream, its chunks' hashes in order and their Merkle root. ``manifest`` has the Merkle
     root over each range of recipes, and under part -1 the root over those.
 
-    Null texts are empty and still get the end id. Null ids come first, rows that repeat an id follow each other. An
-    empty table gives an empty store whose manifest has one row. Long texts are many chunks. Copies of a text share
-    all their chunks, so a group with a third of all rows adds recipes alone; chunks are made unique within each
-    task before the shuffle. Other columns are not read.
+    Texts are encoded once; ids are shuffled once, by chunk, to where each chunk is stored. What goes on from there to
+    the recipes is hashes. Equal chunks carry their ids once for each task, so a group of copies with a third of all
+    rows is shuffled as hashes. Null texts are empty and still get the end id. Null ids come first, rows that repeat
+    an id follow each other. An empty table gives an empty store whose manifest has one row. Long texts are many
+    chunks. Other columns are not read.
     """
     spark = docs.sparkSession
-    encoded, staged = written(encode_chunks(docs, tokenizer_path, end_id, id_col, text_col), "encoded")
-    chunks = encoded.select(F.explode("chunks").alias("c")).select("c.sha", "c.ids").dropDuplicates(["sha"])
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
-    rows = encoded.select("doc_id", "n_tokens", "root", F.col("chunks.sha").alias("shas"))
-    placed = running_start(rows, "doc_id", "n_tokens", "start")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def once(batches):
+        """Of the rows of a chunk, which begin with one that has the ids: the chunk as a row of its own, and all as references."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        last = None
+        for b in batches:
+            sha = b.column(3)
+            if not b.num_rows:
+                continue
+            new = np.ones(b.num_rows, bool)
+            new[1:] = pc.not_equal(sha.slice(1), sha.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            new[0] = sha[0].as_py() != last
+            last = sha[b.num_rows - 1].as_py()
+            kind = pa.array(["ref"] * b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.nulls(b.num_rows, pa.binary()), kind], names=[*b.schema.names, "kind"])
+            own = b.filter(pa.array(new))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(["chunk"] * own.num_rows)], names=[*b.schema.names, "kind"])
+
+    encoded = encode_chunks(docs, tokenizer_path, end_id, id_col, text_col)
+    dealt = encoded.repartition(n, "sha").sortWithinPartitions("sha", F.col("ids").asc_nulls_last(), "row", "pos")
+    both = dealt.mapInArrow(once, f"{encoded._jdf.schema().toDDL()}, kind string")
+    both.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/stored")
+    kinds = spark.read.schema(f"{encoded._jdf.schema().toDDL()}, kind string").parquet(f"{path}/stored")
+    refs = kinds.where("kind = 'ref'").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "sha", "n"))).alias("refs"))
+    rows = refs.select("doc_id", F.aggregate("refs", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_tokens"), F.col("refs.sha").alias("shas"))
+
+    def rooted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([merkle(x) for x in b.column(2).to_pylist()], pa.binary())], names=[*b.schema.names, "root"])
+
+    placed = running_start(rows.mapInArrow(rooted, f"{rows._jdf.schema().toDDL()}, root binary"), "doc_id", "n_tokens", "start")
     placed.repartitionByRange(n, "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     def roots(batches):
@@ -154,7 +227,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     total = parts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     whole = spark.createDataFrame([(-1, 0, total, bytearray(top))], parts.schema)
     parts.unionByName(whole).coalesce(1).write.parquet(f"{path}/manifest")
-    drop_path(spark, staged)
+    drop_path(spark, f"{path}/stored/kind=ref")
+
+
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """``sha, ids`` of each stored chunk. A chunk whose ids don't have the SHA-256 it is stored under stops the job."""
+    rows = spark.read.schema("sha binary, ids binary, kind string").parquet(f"{path}/stored").where("kind = 'chunk'")
+    wrong = F.raise_error(F.concat(F.lit("chunk "), F.hex("sha"), F.lit(" is damaged")))
+    return rows.select("sha", F.when(F.sha2("ids", 256) == F.lower(F.hex("sha")), F.col("ids")).otherwise(wrong).alias("ids"))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -165,8 +245,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """
     recipes = spark.read.parquet(f"{path}/recipes").select("root", "shas").dropDuplicates(["root"])
     refs = recipes.select("root", F.posexplode("shas").alias("pos", "sha"))
-    chunks = spark.read.parquet(f"{path}/chunks")
-    found = refs.join(chunks, "sha", "left")
+    found = refs.join(stored_chunks(spark, path), "sha", "left")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rebuild(batches):
@@ -197,15 +276,80 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return found.select("root", "pos", "ids").repartition(n, "root").sortWithinPartitions("root", "pos").select("root", "ids").mapInArrow(rebuild, "root binary, n_tokens long, ids binary")
 
 
+def crc_shifts(bits: int = 40) -> np.ndarray:
+    """For each power of two: tables by byte of what that many zero bytes do to a crc32, as :func:`zlib.crc32` counts it."""
+    one = np.array([1 << k for k in range(1, 32)], np.uint64)
+    step = np.concatenate([[np.uint64(0xEDB88320)], one >> np.uint64(1)])  # one zero bit
+
+    def apply(m, x):
+        return functools.reduce(np.bitwise_xor, (np.where((x >> np.uint64(k)) & np.uint64(1), m[k], np.uint64(0)) for k in range(32)))
+
+    for _ in range(3):
+        step = apply(step, step)  # one zero byte
+    out = []
+    for _ in range(bits):
+        out.append([apply(step, np.arange(256, dtype=np.uint64) << np.uint64(8 * k)) for k in range(4)])
+        step = apply(step, step)
+    return np.array(out)
+
+
+def joined_crc(crcs: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """crc32 of each text from its chunks' crc32 and bytes: chunks lie one after the other, texts end at ``ends``."""
+    total = np.cumsum(sizes)
+    of = np.searchsorted(ends, np.arange(len(crcs)), side="right")
+    after = total[ends - 1][of] - total  # bytes of the text behind each chunk
+    x = crcs.astype(np.uint64)
+    for k, t in enumerate(crc_shifts()):
+        moved = np.flatnonzero((after >> k) & 1)
+        y = x[moved]
+        x[moved] = t[0][y & np.uint64(255)] ^ t[1][(y >> np.uint64(8)) & np.uint64(255)] ^ t[2][(y >> np.uint64(16)) & np.uint64(255)] ^ t[3][y >> np.uint64(24)]
+    return np.bitwise_xor.reduceat(x, np.concatenate([[0], ends[:-1]])) if len(ends) else x
+
+
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files: crc32 of its ids as unsigned 32-bit integers."""
+    """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files: crc32 of its ids as unsigned 32-bit integers.
+
+    Each stored chunk is read and held against its SHA-256, and its crc32 taken, once. A document's crc32 follows from
+    those of its chunks, put together in the order of its recipe, which must have the recipe's Merkle root; so hashes
+    are shuffled, and no ids. (:func:`read_store` puts the ids themselves together.)
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def digest(batches):
         import pyarrow as pa
 
         for b in batches:
-            crcs = [zlib.crc32(np.frombuffer(x, WIDTH).astype("<u4").tobytes()) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crcs, pa.int64())], names=["root", "n_tokens", "ids_crc32"])
+            wide = [np.frombuffer(x, WIDTH).astype("<u4") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in wide], pa.int32()), pa.array([zlib.crc32(x.tobytes()) for x in wide], pa.int64())], names=["sha", "n", "crc"])
+
+    def whole(batches):
+        import pyarrow as pa
 
-    streams = read_store(spark, path).mapInArrow(digest, "root binary, n_tokens long, ids_crc32 long")
-    return spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "root").join(streams, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+        held: list = []  # rows of the stream that may go on in the next batch
+
+        def done(rows):
+            if not rows:
+                return pa.RecordBatch.from_pydict({"root": pa.array([], pa.binary()), "n_tokens": pa.array([], pa.int64()), "ids_crc32": pa.array([], pa.int64())})
+            ends = np.array([k + 1 for k in range(len(rows)) if k + 1 == len(rows) or rows[k + 1][0] != rows[k][0]])
+            starts = np.concatenate([[0], ends[:-1]])
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if merkle([r[1] for r in rows[a:b]]) != rows[a][0]:
+                    raise RuntimeError(f"document {rows[a][0].hex()} can't be put together from its chunks")
+            n_ids = np.array([r[2] for r in rows], np.int64)
+            crcs = joined_crc(np.array([r[3] for r in rows], np.uint64), 4 * n_ids, ends)
+            return pa.RecordBatch.from_pydict({"root": pa.array([rows[a][0] for a in starts.tolist()], pa.binary()), "n_tokens": pa.array(np.add.reduceat(n_ids, starts)), "ids_crc32": pa.array(crcs.astype(np.int64))})
+
+        for b in batches:
+            held += zip(*(c.to_pylist() for c in b.columns), strict=True)
+            cut_at = next((k for k in range(len(held) - 1, 0, -1) if held[k][0] != held[k - 1][0]), 0)
+            if cut_at:
+                yield done(held[:cut_at])
+                held = held[cut_at:]
+        yield done(held)
+
+    chunks = stored_chunks(spark, path).mapInArrow(digest, "sha binary, n int, crc long")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    refs = recipes.select("root", "shas").dropDuplicates(["root"]).select("root", F.posexplode("shas").alias("pos", "sha"))
+    rows = refs.join(chunks, "sha").repartition(n, "root").sortWithinPartitions("root", "pos").select("root", "sha", "n", "crc")
+    streams = rows.mapInArrow(whole, "root binary, n_tokens long, ids_crc32 long")
+    return recipes.select("doc_id", "start", "root").join(streams, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
