@@ -24,7 +24,7 @@ def exact_stage(spark, docs, sf_dir):
 
 def near_stage(spark, docs, sf_dir):
     """Of each group of documents linked by 5-word shingles at a Jaccard similarity of 0.8 or more, one stays."""
-    return keep_one_of_each(docs, width=5, num=80, den=100)
+    return keep_one_of_each(docs, width=5, num=80, den=100, store_buckets=False)
 
 
 def mixing_stage(spark, docs, sf_dir):

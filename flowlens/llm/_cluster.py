@@ -14,14 +14,17 @@ from ._base import cut
 
 
 def shared_members(sig: DataFrame) -> DataFrame:
-    """``bucket, ent, lead, n`` for all buckets of ``sig`` (``bucket, ent``) that hold two or more different ents.
+    """``lead, ent, n`` for all buckets of ``sig`` (``bucket, ent``) that hold two or more different ents.
 
-    Counting aggregates before it shuffles; a hot bucket is then a skewed join, which Spark splits.
+    A bucket's lead is its least ent. Buckets with one lead are one group of ``n`` members, so things that share many
+    buckets are in few groups. Counting aggregates before it shuffles; a hot bucket is then a skewed join, which Spark
+    splits.
     """
     again = sig.groupBy("bucket").count().where("count > 1").select("bucket")
     members = cut(sig.join(again, "bucket").select("bucket", "ent").distinct(), "members")
-    stat = members.groupBy("bucket").agg(F.min("ent").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(stat, "bucket")
+    leads = members.groupBy("bucket").agg(F.min("ent").alias("lead"), F.max("ent").alias("last")).where("lead < last").select("bucket", "lead")
+    groups = cut(members.join(leads, "bucket").select("lead", "ent").distinct(), "groups")
+    return groups.join(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "lead")
 
 
 def _not_covered(lists: DataFrame) -> DataFrame:
@@ -37,30 +40,39 @@ def _not_covered(lists: DataFrame) -> DataFrame:
     return unique.join(inside.select("list"), "list", "left_anti")
 
 
-def first_lists(members: DataFrame, cap: int) -> DataFrame:
-    """Lists ``list, ents`` of the buckets' members. A bucket of more than ``cap`` is dealt to lists of about half of that, its lead in each."""
+def first_lists(members: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(lists ``list, ents``; the members of groups of more than ``cap``).
+
+    What groups connect in any way is a family. A family of at most ``cap`` members is one list, so each of them
+    is looked at once. Larger families go by their groups; a group of more than ``cap`` is dealt to lists of about
+    half of that, its lead in each.
+    """
+    families = connected(members.where("ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")))
+    size = families.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    sized = cut(families.join(size, "comp"), "families")
+    small = sized.where(F.col("size") <= cap).groupBy("comp").agg(F.array_sort(F.collect_list("ent")).alias("ents")).select(F.col("comp").alias("list"), "ents")
+    rest = members.join(sized.where(F.col("size") > cap).select("ent"), "ent", "left_semi")
     parts = F.when(F.col("n") > cap, F.ceil(F.col("n") / (cap / 2))).otherwise(1)
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("ent", F.lit(7)), parts))
-    lists = dealt.groupBy("bucket", "part", "lead").agg(F.collect_set("ent").alias("ents")).select(F.array_sort(F.array_union("ents", F.array("lead"))).alias("ents"))
-    return _not_covered(lists)
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("ent", F.lit(7)), parts))
+    lists = dealt.groupBy("lead", "part").agg(F.collect_set("ent").alias("ents")).select(F.array_sort(F.array_union("ents", F.array("lead"))).alias("ents"))
+    return small.unionByName(_not_covered(lists)), rest.where(F.col("n") > cap)
 
 
-def stray_lists(members: DataFrame, labels: DataFrame, cap: int) -> DataFrame:
-    """The rest of the large buckets: all members that are not yet connected to their bucket's lead, with all other members.
+def stray_lists(big: DataFrame, labels: DataFrame, cap: int) -> DataFrame:
+    """The rest of the large groups: all members that are not yet connected to their group's lead, with all other members.
 
     Both are dealt to parts, and each pair of parts is a list; so every pair of which one is a stray is in one list.
     """
-    big = members.where(F.col("n") > cap)
     of = labels.select(F.col("ent").alias("__ent"), "comp")
     label = lambda df, key, out: df.join(of, F.col(key) == F.col("__ent"), "left").withColumn(out, F.coalesce("comp", F.col(key))).drop("__ent", "comp")
     known = label(label(big, "ent", "own"), "lead", "theirs")
-    strays = known.where("own <> theirs").select("bucket", "ent")
-    count = strays.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (cap / 2)).alias("s_parts"))
-    open_ = big.join(count, "bucket").withColumn("parts", F.ceil(F.col("n") / (cap / 2)))
+    strays = known.where("own <> theirs").select("lead", "ent")
+    count = strays.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / (cap / 2)).alias("s_parts"))
+    open_ = big.join(count, "lead").withColumn("parts", F.ceil(F.col("n") / (cap / 2)))
     home = lambda parts: F.pmod(F.xxhash64("ent", F.lit(7)), F.col(parts))
-    all_ = open_.select("bucket", "ent", home("parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s_parts") - 1)).alias("s_part"))
-    odd = open_.join(strays, ["bucket", "ent"], "left_semi").select("bucket", "ent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), home("s_parts").alias("s_part"))
-    return all_.unionByName(odd).groupBy("bucket", "part", "s_part").agg(F.array_sort(F.collect_set("ent")).alias("ents")).where(F.size("ents") > 1).select(F.xxhash64("ents").alias("list"), "ents").dropDuplicates(["list"])
+    all_ = open_.select("lead", "ent", home("parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s_parts") - 1)).alias("s_part"))
+    odd = open_.join(strays, ["lead", "ent"], "left_semi").select("lead", "ent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), home("s_parts").alias("s_part"))
+    return all_.unionByName(odd).groupBy("lead", "part", "s_part").agg(F.array_sort(F.collect_set("ent")).alias("ents")).where(F.size("ents") > 1).select(F.xxhash64("ents").alias("list"), "ents").dropDuplicates(["list"])
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -90,9 +102,10 @@ def connected(links: DataFrame) -> DataFrame:
 def components(sig: DataFrame, verify: Callable[[DataFrame], DataFrame], cap: int) -> DataFrame:
     """``ent, comp`` of all ents that are linked. ``verify`` makes links ``a, b`` out of lists ``list, ents``."""
     members = cut(shared_members(sig), "shared")
-    links = cut(verify(first_lists(members, cap)), "links")
+    lists, big = first_lists(members, cap)
+    links = cut(verify(lists), "links")
     labels = connected(links)
-    strays = cut(stray_lists(members, labels, cap), "strays")
+    strays = cut(stray_lists(big, labels, cap), "strays")
     if strays.isEmpty():
         return labels
     return connected(links.unionByName(cut(verify(strays), "links")))

@@ -8,7 +8,12 @@ from ._base import SPACE_RE, cut, texts
 from ._cluster import components
 
 #: Character shingles are taken where a word begins, and at each character of scripts that don't put spaces between words.
-ANCHORED = r"(?s)(?:(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?=[⺀-￯]))(?=(.{{1,{width}}}))"
+ANCHORED = r"(?s)(?=(.{{1,{width}}}))(?:[\u2E80-\uFFEF]|[^ \u2E80-\uFFEF]+ ?)"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` has it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def pieces(text: Column) -> Column:
@@ -32,9 +37,12 @@ def sketch(line: Column, width: int = 8, keep: int = 5) -> Column:
     100 pairs at similarity 0.8 do. A line of one shingle has that as its band.
     """
     grams = F.regexp_extract_all(line, F.lit(ANCHORED.format(width=width)), F.lit(1))
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))), 1, keep)
-    pairs = F.flatten(F.transform(least, lambda x, i: F.transform(F.slice(least, i + 2, keep), lambda y: F.xxhash64(x, y))))
-    return F.when(F.size(least) == 1, F.transform(least, lambda x: F.xxhash64(x))).otherwise(pairs)
+
+    def bands(least):
+        pairs = F.flatten(F.transform(least, lambda x, i: F.transform(F.slice(least, i + 2, keep), lambda y: F.xxhash64(x, y))))
+        return F.when(F.size(least) == 1, F.transform(least, lambda x: F.xxhash64(x))).otherwise(pairs)
+
+    return let(F.slice(F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))), 1, keep), bands)
 
 
 def shingles(line: Column, width: int) -> Column:
@@ -57,24 +65,35 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = rows.select("ent").distinct().join(first, "ent").groupBy(F.col("doc_id").alias("__at")).agg(F.collect_list(F.struct("pos", "ent")).alias("own"))
         found = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("__at"))).select(pieces(F.col("text")).alias("lines"), "own")
         found = found.select(F.explode(F.transform("own", lambda o: F.struct(o["ent"].alias("ent"), F.get("lines", o["pos"]).alias("line")))).alias("o")).select("o.ent", folded(F.col("o.line")).alias("line"))
-        known = found.where(F.xxhash64("line") == F.col("ent")).dropDuplicates(["ent"]).select("ent", shingles(F.col("line"), width).alias("grams"))
-        full = rows.join(known, "ent").groupBy("list").agg(F.collect_list(F.struct("ent", "grams")).alias("m"))
+        known = found.where(F.xxhash64("line") == F.col("ent")).dropDuplicates(["ent"])
+        full = rows.join(known, "ent").groupBy("list").agg(F.collect_list(F.struct("ent", "line")).alias("m"))
 
         def similar(x, y):
-            both = F.size(F.array_intersect(x["grams"], y["grams"]))
-            return den * both >= num * (F.size(x["grams"]) + F.size(y["grams"]) - both)
+            # den * intersection >= num * union, for those that share a band and whose sizes allow it
+            a, b = F.size(x["grams"]), F.size(y["grams"])
+            near = F.arrays_overlap(x["bands"], y["bands"]) & (den * a >= num * b) & (den * b >= num * a)
+            return near & ((den + num) * F.size(F.array_intersect(x["grams"], y["grams"])) >= num * (a + b))
+
+        def unite(m):
+            """Groups of the list's members, as places: each member with the earlier ones it is similar to, then union-find."""
+            near = F.transform(m, lambda x, i: F.filter(F.transform(F.slice(m, F.lit(1), i), lambda y, j: F.when(similar(x, y), j)), lambda j: j.isNotNull()))
+            start = F.expr("cast(array() as array<array<int>>)")
+
+            def groups(near):
+                def add(have, i):
+                    def merged(mine):
+                        hit = lambda g: F.arrays_overlap(g, mine)
+                        return F.concat(F.filter(have, lambda g: ~hit(g)), F.array(F.concat(F.flatten(F.filter(have, hit)), F.array(i))))
+
+                    return let(F.get(near, i), merged)
 
-        # For each member the earlier ones that it is similar to, then union-find within the list.
-        near = full.select("m", F.transform("m", lambda x, i: F.filter(F.transform(F.slice("m", F.lit(1), i), lambda y, j: F.when(similar(x, y), j)), lambda j: j.isNotNull())).alias("near"))
+                return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, add)
 
-        def add(groups, i):
-            mine = F.get("near", i)
-            hit = lambda g: F.arrays_overlap(g, mine)
-            return F.concat(F.filter(groups, lambda g: ~hit(g)), F.array(F.concat(F.flatten(F.filter(groups, hit)), F.array(i))))
+            return let(near, groups)
 
-        start = F.expr("cast(array() as array<array<int>>)")
-        groups = near.select("m", F.explode(F.aggregate(F.sequence(F.lit(0), F.size("m") - 1), start, add)).alias("g")).where(F.size("g") > 1)
-        ends = F.transform(F.slice("g", F.lit(2), F.size("g")), lambda i: F.struct(F.get("m", F.get("g", F.lit(0)))["ent"].alias("a"), F.get("m", i)["ent"].alias("b")))
+        sets = F.transform("m", lambda x: F.struct(x["ent"].alias("ent"), shingles(x["line"], width).alias("grams"), sketch(x["line"]).alias("bands")))
+        groups = full.select(F.transform("m", lambda x: x["ent"]).alias("ids"), let(sets, unite).alias("groups")).select("ids", F.explode("groups").alias("g")).where(F.size("g") > 1)
+        ends = F.transform(F.slice("g", F.lit(2), F.size("g")), lambda i: F.struct(F.get("ids", F.get("g", F.lit(0))).alias("a"), F.get("ids", i).alias("b")))
         return groups.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct()
 
     return lines, components(sig, verify, cap)

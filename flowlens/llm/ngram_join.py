@@ -114,15 +114,21 @@ def trie_links(sets: list[np.ndarray], num: int, den: int):
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     sets, size = [sets[i] for i in order], size[order]
     flat = np.concatenate(sets)
-    grams, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) * (count > 1) - 1  # column of each n-gram that two sets have, else -1
-    column = shared[code]
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
     ends = np.cumsum(size)
     starts = ends - size
-    has = np.zeros((len(sets), int((count > 1).sum())), bool)
-    owner = np.repeat(np.arange(len(sets)), size)
-    has[owner[column >= 0], column[column >= 0]] = True
-    columns = [column[a:b] for a, b in zip(starts, ends, strict=True)]
+    by_gram = np.argsort(code, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), size)[by_gram]  # the sets that have each n-gram, by its code
+    begin = np.cumsum(count) - count
+    codes = [code[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    def met(step):
+        """How many of these n-grams each set has."""
+        step = step[count[step] > 1]
+        n = count[step]
+        at = np.arange(n.sum()) + np.repeat(begin[step] - np.cumsum(n) + n, n)
+        return np.bincount(holders[at], minlength=len(sets))
+
     common = []  # length of the common beginning of each set and the next
     for a, b in zip(sets, sets[1:], strict=False):
         k = min(len(a), len(b))
@@ -149,10 +155,8 @@ def trie_links(sets: list[np.ndarray], num: int, den: int):
             probes, overlap = probes[alive], overlap[alive]
             if depth >= until or not len(probes):
                 break
-            step = columns[lo][depth : min(until, depth + 64)]
-            own = step[step >= 0]
-            if len(own):
-                overlap = overlap + has[np.ix_(probes, own)].sum(axis=1)
+            step = codes[lo][depth : min(until, depth + 64)]
+            overlap = overlap + met(step)[probes]
             depth += len(step)
         if not len(probes):
             continue
@@ -194,7 +198,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, what: str) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, ent long{tail}")
 
 
-def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", cap: int = 256) -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", cap: int = 256, store_buckets: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: documents linked by n-gram Jaccard similarity, in connected components.
 
     Texts are lower-cased (A-Z) and split at ``[\\x20\\x09-\\x0D]``; a document's set is its distinct n-grams of
@@ -206,7 +210,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     of the prefix tree where they meet (see :func:`size_classes`). The sets of a shard are walked as a trie with
     pruning by remaining length (:func:`trie_links`), and give no more links than connect them. Shards of more than
     ``cap`` sets are dealt to several lists, first with the shard's lead in each, then all sets that are not yet
-    connected to it against all others, so no pair goes unseen.
+    connected to it against all others, so no pair goes unseen. ``store_buckets`` writes the segments' keys to the
+    shared folder, which saves a second pass over the texts and takes 8 bytes for each.
 
     Null and empty texts have no set, link with nothing and are components of their own. Repeated rows share a
     component; ties go to the smallest id; a null id takes its component's smallest id. An empty table gives an empty
@@ -214,8 +219,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     n^2 / 2^65.
     """
     src = texts(docs, id_col, text_col)
-    own = cut(shingle_sets(src, width, num, den, ""), "sets")
-    sig = shingle_sets(src, width, num, den, "buckets").select(F.explode("buckets").alias("bucket"), "ent")
+    own = cut(shingle_sets(src, width, num, den, "buckets" if store_buckets else ""), "sets")
+    sig = (own if store_buckets else shingle_sets(src, width, num, den, "buckets")).select(F.explode("buckets").alias("bucket"), "ent")
     keepers = own.where("ent IS NOT NULL").groupBy("ent").agg(F.min("doc_id").alias("keeper"))
 
     def verify(lists: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     return h[at], at, ok[new], last
 
 
-def _batches(raw: list[bytes], most: int = 8_000_000):
+def _batches(raw: list[bytes], most: int = 1_000_000):
     """Texts in groups of about ``most`` bytes: (first index, bytes, ends)."""
     lo = 0
     while lo < len(raw):

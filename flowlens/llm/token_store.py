@@ -37,7 +37,7 @@ class PieceEncoder:
     through the library's whole chain.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         class Known(dict):
@@ -59,13 +59,15 @@ class PieceEncoder:
 
     def _piece(self, piece: str) -> bytes:
         if LATIN_PIECE.fullmatch(piece) and "<|" not in piece:
-            return b"".join([self.words.get(w) or self._word(w) for w in LATIN_WORDS.findall(piece)])
+            words = LATIN_WORDS.findall(piece)
+            if len(words) == 1:
+                return self._word(piece)
+            return b"".join([self.spaced[w[1:]] if w[0] == " " else self.words.get(w) or self.words.setdefault(w, self._word(w)) for w in words])
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, WIDTH).tobytes()
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = self.words[word] = b"".join([self.bytes[t.id] for t in tokens])
-        return ids
+        return b"".join([self.bytes[t.id] for t in tokens])
 
     def encode(self, text: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
@@ -87,6 +89,12 @@ class PieceEncoder:
         return out
 
 
+@functools.cache
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder for each process: a worker that finds this package keeps what it knows from task to task."""
+    return PieceEncoder(path)
+
+
 def boundaries(ids: np.ndarray, ends: np.ndarray, bits: int = 8, window: int = 16, longest: int = 4096) -> np.ndarray:
     """Ends of the chunks of texts whose ids lie one after the other in ``ids``, up to ``ends``.
 
@@ -131,7 +139,11 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, given = PieceEncoder(tokenizer_path), set()
+        try:
+            from flowlens.llm.token_store import piece_encoder as kept
+        except ModuleNotFoundError:  # a worker without this package has the function that came with the task
+            kept = piece_encoder
+        encoder, given = kept(tokenizer_path), set()
         tail = np.array([end_id], WIDTH).tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 2000):

@@ -81,21 +81,21 @@ def distinct_words(src: DataFrame, parts: int) -> DataFrame:
     """Each block's distinct words, dealt by hash: rows ``part, block, check, at, words``; ``at`` are the words' codes in their block."""
 
     def run(batches):
-        import pyarrow as pa
-
         for k, check, _, _, _, words in _blocks(batches):
             home = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % parts
             order = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[order], np.arange(parts + 1))
+            rows = []
             for p in range(parts):
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
                     step = np.diff(own, prepend=0).astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([p], pa.int32()), "block": pa.array([k], pa.int64()), "check": pa.array([check], pa.int64()),
-                        "at": pa.array([_pack(step)], pa.binary()), "words": pa.array([zlib.compress(b" ".join([words[i] for i in own]), 1)], pa.binary()),
-                    })
+                    rows.append({"part": p, "block": k, "check": check, "at": _pack(step), "words": zlib.compress(b" ".join([words[i] for i in own]), 1)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    import pyarrow as pa
+
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("check", pa.int64()), ("at", pa.binary()), ("words", pa.binary())])
     return src.mapInArrow(run, "part int, block long, check long, at binary, words binary")
 
 
@@ -132,21 +132,22 @@ def encoded_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         import os
 
-        import pyarrow as pa
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, last = WordEncoder(tokenizer_path), None
         for b in batches:
+            rows = []
             for row in b.to_pylist():
                 if row["part"] != last:
                     encoder.known.clear()
                     last = row["part"]
                 got = encoder.encode(zlib.decompress(row["words"]).split(b" "))
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([row["block"]], pa.int64()), "check": pa.array([row["check"]], pa.int64()), "at": pa.array([row["at"]], pa.binary()),
-                    "counts": pa.array([_pack(np.array([len(x) for x in got], np.int32))], pa.binary()), "ids": pa.array([_pack(np.concatenate(got).astype(np.int32))], pa.binary()),
-                })
+                counts = np.array([len(x) for x in got], np.int32)
+                rows.append({"block": row["block"], "check": row["check"], "at": row["at"], "counts": _pack(counts), "ids": _pack(np.concatenate(got).astype(np.int32))})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    import pyarrow as pa
 
+    schema = pa.schema([("block", pa.int64()), ("check", pa.int64()), ("at", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
     return words.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "block long, check long, at binary, counts binary, ids binary")
 
 

@@ -1,0 +1,339 @@
+"""Null, empty, long, tied and repeated rows, empty tables and extra columns, for each operator; results against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from flowlens.llm import chat, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_store, word_bpe
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BASE = "the quick brown fox jumps over the lazy dog and then runs far away from all of the other animals in the big dark wood until night falls"
+TEXTS = [
+    None, "", " \n\t", "one", BASE, BASE, BASE.replace("lazy", "tired"), BASE.upper(), f"{BASE}\n{BASE}\nand more", "x" * 250, "ab" * 300, "é" * 120, "<|endoftext|> a<|endoftext|>",
+    "it's 12 34 x  y\x85z", "w " * 9000, "漢字 テスト １２ ﬁ İstanbul", f"{BASE} {BASE}", f"Start {BASE}.\nEnd", "#*$ %&| <>" * 20,
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row long, keep_id long, kept boolean, bucket long, list long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", [None, "a", "b"][i % 3], 0, 1, 2, 3, True, 4, 5) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, SCHEMA).coalesce(2)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def test_quality(spark, docs, none):
+    labels = spark.createDataFrame([(4, 1, 0), (8, 0, 0), (9, None, None), (None, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.judge(docs, model).collect()}
+    for i, t in enumerate(TEXTS):
+        w = words(t)
+        win = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        cover = {p for k in range(len(w) - 4) if win[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover))
+        assert tuple(got[i][c] for c in quality.BASE) == want
+        assert got[i].base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (got[i].base_failed and got[i].kept)
+    assert quality.judge(none, model).count() == 0 and quality.keep_good(none, model).count() == 0
+    assert quality.train(none, labels).score(np.zeros((2, len(quality.FEATURES)))).tolist() == pytest.approx([0.999, 0.999])
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_trees_keep_to_monotone_constraints():
+    rng = np.random.default_rng(5)
+    x = rng.random((3000, 4))
+    y = ((x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) + 0.2 * rng.random(3000)) < 0.8).astype(float)
+    model = quality.fit(x, y, np.array([-1, 0, 1, 0]))
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9
+    for f, sign in ((0, -1), (2, 1)):
+        grid = np.repeat(rng.random((50, 4))[:, None, :], 40, axis=1)
+        grid[:, :, f] = np.linspace(0, 1, 40)
+        s = model.score(grid.reshape(-1, 4)).reshape(50, 40)
+        assert (sign * np.diff(s, axis=1) >= -1e-12).all()
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.col("doc_id") % 2 == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, labels.where(~held))
+    got = quality.judge(docs, model).join(labels.where(held), "doc_id").select("score", "quality").collect()
+    assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) / len(got) > 0.97
+
+
+@pytest.mark.parametrize("most", [3])
+def test_source_targets(spark, most):
+    sizes = {"a": 10, "b": 1000, "c": 5, "d": 300, None: 50, "e": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), sum(sizes.values())
+    while open_:
+        share = {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > most * sizes[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = most * sizes[s]
+        left = sum(sizes.values()) - sum(target.values())
+        open_ -= over
+    assert got == pytest.approx(target)
+
+
+def test_mixing(spark, none):
+    rows = [(i, "w " * (1 + i * 7919 % 97), f"s{i % 4}" if i % 5 else None) for i in range(1500)] + [(7, None, "s1"), (None, "a b", "s2"), (3, "same row", "s9"), (3, "same row", "s9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    run = lambda **p: sorted((str(r.doc_id), r.size, r.copies, r.taken, r.rows, str(r.source), round(r.target, 6), r.source_size) for r in mixing.mix(df, **p).collect())
+    got = run(leaf_units=64, fan=4)
+    assert got == run(leaf_units=64, fan=4) and got != run(leaf_units=64, fan=4, seed=12)
+    assert sum(r[4] for r in got) == len(rows)
+    for s in {r[5] for r in got}:
+        own = [r for r in got if r[5] == s]
+        assert abs(sum(r[3] * r[4] for r in own) - own[0][6]) <= max(r[1] * r[4] for r in own)
+        ratio = own[0][6] / own[0][7]
+        assert all(r[2] in (int(ratio), int(ratio) + 1) and r[3] <= 3 * r[1] for r in own if r[1])
+    assert mixing.mix(none).count() == 0 and mixing.mixed_rows(none).columns == none.columns
+    taken = Counter(r.doc_id for r in mixing.mixed_rows(df, leaf_units=64, fan=4).collect())
+    assert sum(taken.values()) == sum(r[2] * r[4] for r in got)
+
+
+def test_pivot_keeps_mass_and_chances():
+    rng, total = np.random.default_rng(1), np.zeros(30)
+    p, size = rng.random(30), rng.integers(1, 50, 30).astype(float)
+    for _ in range(3000):
+        pivot, out = mixing.Pivot(), {}
+        for i in range(30):
+            out |= dict(pivot.add(i, size[i], p[i], rng.random()))
+        if pivot.held:
+            i, _, q = pivot.held
+            assert abs(sum(size[k] * v for k, v in out.items()) + size[i] * q - (size * p).sum()) < 1e-6
+            out[i] = int(rng.random() < q)
+        total += [out[i] for i in range(30)]
+    assert np.abs(total / 3000 - p).max() < 0.05
+
+
+def test_word_bpe(docs, none):
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    for r in word_bpe.encode_decode(docs, path).collect():
+        ids = t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ids, t.decode(ids, skip_special_tokens=False))
+    assert word_bpe.encode_decode(none, path).count() == 0
+
+
+def test_html():
+    page = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav><!-- no -->
+    <div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p>First  part<br>goes on &eacute;&#233;.<p>Short.<form><input name=q>Ask</form><p><b>Bold</b> text.</p></article>
+    <aside>Side</aside><section class="comments"><p>I liked it very much indeed</p></section><footer>&copy; 2020</footer>"""
+    assert html_extract.extract(page) == "Head & line\nFirst part goes on éé.\nShort.\nBold text."
+    assert html_extract.extract("") == html_extract.extract("<p") == html_extract.extract("<nav>x</nav>") == ""
+    plain = "<body><div><a href=a>One</a> <a href=b>Two</a></div><div id=c><p>" + "Long text with many words. " * 9 + "<p>Short.<p>" + "More of the same text. " * 9 + "</div><div id=footer>F</div>"
+    assert html_extract.extract(plain).split("\n")[1] == "Short."
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (None, None, "<p>Hello there</p>"), (2, "v", "<article>" + "a b " * 50_000 + "</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    got = sorted((str(r.page_id), r.n_chars, len(r.text)) for r in html_extract.extract_pages(df).collect())
+    assert got == [("1", 0, 0), ("1", 0, 0), ("2", 199_999, 199_999), ("None", 11, 11)]
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def brute_components(texts, width, num, den):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("width", "num", "cap"), [(3, 90, 256), (5, 80, 256), (2, 80, 4)])
+def test_ngram_join(spark, docs, none, width, num, cap):
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 400, 200)]
+    texts = list(TEXTS)
+    for _ in range(25):
+        w = list(base)
+        for k in rng.integers(0, 200, rng.integers(0, 6)):
+            w[k] = f"z{rng.integers(0, 9)}"
+        texts.append(" ".join(w[: 200 - rng.integers(0, 12)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ent", F.lit(1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df, width, num, 100, cap=cap).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, width, num, 100)
+    if cap == 256:
+        assert ngram_join.ngram_components(none, width, num, 100, store_buckets=False).count() == 0
+        left = {r.doc_id for r in ngram_join.keep_one_of_each(df, width=width, num=num, den=100).collect()}
+        assert left == {i for i, (_, c) in got.items() if c == i}
+
+
+def test_trie_and_segments():
+    rng = np.random.default_rng(2)
+    for trial in range(120):
+        base = [rng.integers(0, 2**63, rng.integers(1, 120)).astype(np.uint64) for _ in range(3)]
+        sets = {}
+        for _ in range(rng.integers(2, 25)):
+            s = set(base[rng.integers(0, 3)].tolist()) | set(base[0][:3].tolist())
+            for _ in range(rng.integers(0, len(s) // 8 + 2)):
+                s.discard(next(iter(s), None))
+                s.add(int(rng.integers(0, 2**63)))
+            a = np.array(sorted(s), np.uint64)
+            sets[a.tobytes()] = a
+        sets = list(sets.values())
+        for num in (80, 90):
+            links = set(map(frozenset, ngram_join.trie_links(sets, num, 100)))
+            keys = [set(ngram_join.path_segments(s, num, 100).tolist()) for s in sets]
+            comp = {i: i for i in range(len(sets))}
+            find = lambda i: i if comp[i] == i else find(comp[i])  # noqa: B023,E731
+            for i, j in map(tuple, links):
+                comp[find(i)] = find(j)
+            for i in range(len(sets)):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    linked = 100 * both >= num * (len(sets[i]) + len(sets[j]) - both)
+                    assert linked or frozenset((i, j)) not in links
+                    assert not linked or (find(i) == find(j) and keys[i] & keys[j]), trial
+
+
+def test_exact_dedup(docs, none):
+    texts = [(i, t or "", re.sub(r"[\x20\x09-\x0D]", "", t or "")) for i, t in enumerate(TEXTS)]
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs, digest_all=True).collect()}
+    for i, _, n in texts:
+        same = [(-len(t), k) for k, t, m in texts if m == n]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(same)[1], len(same), min(same)[1] == i)
+        assert got[i].text_sha256 == hashlib.sha256(n.encode()).hexdigest()
+    assert exact_dedup.exact_dedup(none).count() == 0
+    left = exact_dedup.keep_first_copies(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_token_store(spark, docs, none, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    token_store.write_store(docs, f"file://{tmp_path}/store", path, 2)
+    got = {r.doc_id: r for r in token_store.stored_documents(spark, f"file://{tmp_path}/store").collect()}
+    whole = {bytes(r.root): r.ids for r in token_store.read_store(spark, f"file://{tmp_path}/store").collect()}
+    recipes = {r.doc_id: bytes(r.root) for r in spark.read.parquet(f"{tmp_path}/store/recipes").collect()}
+    start = 0
+    for i, text in enumerate(TEXTS):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert np.frombuffer(whole[recipes[i]], token_store.WIDTH).tolist() == ids
+        start += len(ids)
+    chunks = token_store.stored_chunks(spark, f"file://{tmp_path}/store")
+    assert chunks.count() == chunks.select("sha").distinct().count()
+    token_store.write_store(none, f"file://{tmp_path}/none", path, 2)
+    assert token_store.stored_documents(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_damaged_chunk_is_found(spark, docs, tmp_path):
+    from pyspark.errors import PySparkException
+
+    at = f"file://{tmp_path}/store"
+    token_store.write_store(docs.limit(5), at, P.path("byte_bpe_50k.json"), 2)
+    chunks = token_store.stored_chunks(spark, at).withColumn("ids", F.concat("ids", F.unhex(F.lit("0100")))).collect()
+    bad = spark.createDataFrame(chunks, "sha binary, ids binary").withColumns({"row": F.lit(1).cast("long"), "doc_id": F.lit(1).cast("long"), "pos": F.lit(1), "n": F.lit(1)})
+    bad.write.mode("overwrite").parquet(f"{at}/stored/kind=chunk")
+    with pytest.raises(PySparkException):
+        token_store.stored_documents(spark, at).collect()
+
+
+def brute_removed(texts, width=100):
+    seen, out = set(), []
+    for t in texts:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw) + 1, int)
+        for i in range(len(raw) - width + 1):
+            if raw[i : i + width] in seen:
+                gone[i] += 1
+                gone[i + width] -= 1
+            seen.add(raw[i : i + width])
+        m = np.cumsum(gone)[:-1] > 0
+        out.append((len(raw), int(m.sum()), int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()), hashlib.sha256(bytes(b for b, g in zip(raw, m, strict=True) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 500])
+def test_suffix_dedup(spark, docs, none, shard):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_bytes(docs, shard_bytes=shard).collect()}
+    assert [got[i] for i in range(len(TEXTS))] == brute_removed(TEXTS)
+    assert suffix_dedup.removed_bytes(none).count() == 0
+
+
+def test_suffix_array_repeats():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        width = int(rng.choice([40, 100]))
+        base = bytes(rng.choice(list(b"ab \n"), 400).tolist())
+        parts = [base[i : i + n] for i, n in zip(rng.integers(0, 300, 8), rng.integers(1, 220, 8), strict=True)] + [b"ab" * 70]
+        seen, want = set(), []
+        for p in parts:
+            want.append([i for i in range(len(p) - width + 1) if p[i : i + width] in seen or seen.add(p[i : i + width])])
+        got, own = suffix_dedup.repeats(parts, width, [])
+        assert [g.tolist() for g in got] == want and own == sorted(seen)
+        first, old = suffix_dedup.repeats(parts[:4], width, [])
+        second, _ = suffix_dedup.repeats(parts[4:], width, old)
+        assert [g.tolist() for g in first + second] == want
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, "system", "be nice"), (1, 1, "user", "a & b <|im_end|>\n<|im_start|>"), (1, 2, "assistant", "&lt;| <"), (2, 1, "assistant", "first"), (2, 0, None, None), (3, 0, "user", "x" * 100_000),
+        (4, 0, "user", "q"), (4, 0, "user", "q"), (None, 0, "user", "n"), (5, None, "user", "q"), (5, 1, "assistant", ""),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1))
+    out = chat.format_chats(df).select("conv_id", "valid", chat.formatted(F.col("segments")).alias("whole"), chat.learned(F.col("segments")).alias("loss"))
+    got = {r.conv_id: r for r in out.select("*", chat.parse_chats(F.col("whole")).alias("turns")).collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted(((t is not None, t or 0, r or "", x or "") for i, t, r, x in rows if i == c))
+        assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, _, r, x in own]
+        assert got[c].loss == "".join(x for _, _, r, x in own if r == "assistant")
+    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: False, 5: True}
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_line_dedup(spark, none):
+    line = "this is a rather long line of text that says the same thing with very small changes at the end of day"
+    texts = [f"{line}\nunique words stand here alone\n\n{line}", f"{line.replace('small', 'smell')}\nanother one entirely different from the rest", None, "", "short", f"  {line.upper()}  ", "漢字かな交じり文の例です。これは長い行です。"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pos", F.lit(1))
+    got = {r.doc_id: (r.n_lines, r.n_removed, list(r.removed)) for r in line_dedup.repeated_lines(df).collect()}
+    assert got == {0: (3, 1, [3]), 1: (2, 1, [0]), 2: (0, 0, []), 3: (0, 0, []), 4: (1, 0, []), 5: (1, 1, [0]), 6: (1, 0, [])}
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert out[0] == f"{line}\nunique words stand here alone\n" and out[2] is None and out[5] == "" and out[4] == "short"
+    assert line_dedup.repeated_lines(none).count() == 0
+
+
+def test_line_dedup_plan_has_no_python(spark):
+    df = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
+    plan = line_dedup.repeated_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
