@@ -27,6 +27,7 @@ BOILER_WORDS = frozenset(
     footer comment comments commentlist respond replies disqus share sharing social related recommended widget toolbar pagination pager""".split()
 )
 SPACES = re.compile(r"\s+")
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 
 
@@ -90,6 +91,11 @@ class _Blocks(HTMLParser):
         if self.links:
             self.blocks[-1][2] += len(data)
 
+    def close(self):
+        if UNFINISHED.match(self.rawdata):
+            self.rawdata = ""  # a tag or comment that the page's end cuts off is no text
+        super().close()
+
     def _around(self, region):
         while region:
             yield region
