@@ -47,8 +47,9 @@ def sketch(line: Column, width: int = 8, keep: int = 5) -> Column:
 
 def shingles(line: Column, width: int) -> Column:
     """All distinct character shingles, as hashes; a shorter line is one shingle."""
-    last = F.greatest(F.length(line) - width + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(line, i, F.lit(width)))))
+    # One pass of the pattern; substrings by position would each count characters from the line's start.
+    grams = F.when(F.length(line) <= width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1)))
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = 5, cap: int = 32) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +72,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def similar(x, y):
             # den * intersection >= num * union, for those that share a band and whose sizes allow it
             a, b = F.size(x["grams"]), F.size(y["grams"])
-            near = F.arrays_overlap(x["bands"], y["bands"]) & (den * a >= num * b) & (den * b >= num * a)
+            near = (den * a >= num * b) & (den * b >= num * a) & F.arrays_overlap(x["bands"], y["bands"])
             return near & ((den + num) * F.size(F.array_intersect(x["grams"], y["grams"])) >= num * (a + b))
 
         def unite(m):
