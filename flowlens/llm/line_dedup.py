@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._base import SPACE_RE, cut, texts
 from ._cluster import components
 
-#: Character shingles are taken where a word begins, and at each character of scripts that don't put spaces between words.
-ANCHORED = r"(?s)(?=(.{{1,{width}}}))(?:[\u2E80-\uFFEF]|[^ \u2E80-\uFFEF]+ ?)"
-
-
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` worked out once, however often ``use`` has it, also inside lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -30,21 +28,6 @@ def folded(line: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(line, f"{SPACE_RE}+", " ")))
 
 
-def sketch(line: Column, width: int = 8, keep: int = 5) -> Column:
-    """Bucket keys of a line: its ``keep`` least shingle hashes are its MinHash signature, each two of them a band.
-
-    Two lines share a band if two of the least hashes of their union's shingles are in both, so with 5 of them 99 of
-    100 pairs at similarity 0.8 do. A line of one shingle has that as its band.
-    """
-    grams = F.regexp_extract_all(line, F.lit(ANCHORED.format(width=width)), F.lit(1))
-
-    def bands(least):
-        pairs = F.flatten(F.transform(least, lambda x, i: F.transform(F.slice(least, i + 2, keep), lambda y: F.xxhash64(x, y))))
-        return F.when(F.size(least) == 1, F.transform(least, lambda x: F.xxhash64(x))).otherwise(pairs)
-
-    return let(F.slice(F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))), 1, keep), bands)
-
-
 def shingles(line: Column, width: int) -> Column:
     """All distinct character shingles, as hashes; a shorter line is one shingle."""
     # One pass of the pattern; substrings by position would each count characters from the line's start.
@@ -52,13 +35,38 @@ def shingles(line: Column, width: int) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
+def banding(num: int, den: int, miss: float = 0.01, most: int = 12) -> tuple[int, int]:
+    """(bands, rows of a band): as many rows as ``most`` bands allow, so that at most ``miss`` of the pairs at ``num`` / ``den`` share no band.
+
+    Each row is a hash function of its own, so it agrees with the odds of the similarity whether sets are small or large.
+    """
+    bands = lambda rows: 1 if num >= den else math.ceil(math.log(miss) / math.log(1 - (num / den) ** rows))
+    rows = 1
+    while rows < 8 and bands(rows + 1) <= most:
+        rows += 1
+    return bands(rows), rows
+
+
+def signatures(said: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``ent, bands`` of each distinct line: of each hash function the least value over its shingles, ``rows`` of them a band.
+
+    Shingles are rows while their hashes are taken, as plain columns are many times faster than lambdas. A line's
+    shingles are made where its group is, so they are not shuffled.
+    """
+    bands, rows = banding(num, den)
+    once = said.select(F.xxhash64("line").alias("ent"), "line").dropDuplicates(["ent"])
+    grams = once.select("ent", F.explode(shingles(F.col("line"), width)).alias("gram"))
+    least = grams.groupBy("ent").agg(*[F.min(F.xxhash64("gram", F.lit(k))).alias(f"least{k}") for k in range(bands * rows)])
+    return least.select("ent", F.array(*[F.xxhash64(F.lit(b), *[f"least{b * rows + k}" for k in range(rows)]) for b in range(bands)]).alias("bands"))
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = 5, cap: int = 32) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, pos, ent`` of each line with a word; ``ent, comp`` of the lines that are similar to others)."""
     src = texts(docs, id_col, text_col)
     split = src.select("doc_id", F.posexplode(pieces(F.col("text"))).alias("pos", "line"))
     said = split.where(has_word(F.col("line"))).select("doc_id", "pos", folded(F.col("line")).alias("line"))
-    lines = cut(said.select("doc_id", "pos", F.xxhash64("line").alias("ent"), sketch(F.col("line")).alias("bands")), "lines")
-    sig = lines.select(F.explode("bands").alias("bucket"), "ent")
+    lines = cut(said.select("doc_id", "pos", F.xxhash64("line").alias("ent")), "lines")
+    sig = cut(signatures(said, width, num, den), "signatures").select(F.explode("bands").alias("bucket"), "ent")
     first = lines.groupBy("ent").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("ent", "at.doc_id", "at.pos")
 
     def verify(lists: DataFrame) -> DataFrame:
@@ -70,9 +78,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = rows.join(known, "ent").groupBy("list").agg(F.collect_list(F.struct("ent", "line")).alias("m"))
 
         def similar(x, y):
-            # den * intersection >= num * union, for those that share a band and whose sizes allow it
+            # den * intersection >= num * union, for those whose sizes allow it
             a, b = F.size(x["grams"]), F.size(y["grams"])
-            near = (den * a >= num * b) & (den * b >= num * a) & F.arrays_overlap(x["bands"], y["bands"])
+            near = (den * a >= num * b) & (den * b >= num * a)
             return near & ((den + num) * F.size(F.array_intersect(x["grams"], y["grams"])) >= num * (a + b))
 
         def unite(m):
@@ -92,7 +100,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
             return let(near, groups)
 
-        sets = F.transform("m", lambda x: F.struct(x["ent"].alias("ent"), shingles(x["line"], width).alias("grams"), sketch(x["line"]).alias("bands")))
+        sets = F.transform("m", lambda x: F.struct(x["ent"].alias("ent"), shingles(x["line"], width).alias("grams")))
         groups = full.select(F.transform("m", lambda x: x["ent"]).alias("ids"), let(sets, unite).alias("groups")).select("ids", F.explode("groups").alias("g")).where(F.size("g") > 1)
         ends = F.transform(F.slice("g", F.lit(2), F.size("g")), lambda i: F.struct(F.get("ids", F.get("g", F.lit(0))).alias("a"), F.get("ids", i).alias("b")))
         return groups.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct()
@@ -108,9 +116,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``num`` / ``den`` or more. Of each connected component the first line stays (smallest doc_id, null last, then
     position), all others are removed. ``removed`` has their positions in ascending order, from 0.
 
-    Lines that are equal are one from the start. MinHash signatures put similar lines into common buckets, which are
-    verified by exact Jaccard in lists of at most ``cap`` lines; a large bucket is several lists, and what isn't
-    connected to its first line is then held against all of it. Bands find more than 99 of 100 similar pairs.
+    Lines that are equal are one from the start. MinHash signatures of the same shingles put similar lines into common
+    buckets (see :func:`banding`), which are verified by exact Jaccard in lists of at most ``cap`` lines; a large bucket
+    is several lists, and what isn't connected to its first line is then held against all of it. Bands find more than
+    99 of 100 similar pairs, of short lines, of one word and of scripts without spaces too.
 
     A null text has one empty line. Rows that repeat an id are one document whose lines count once for each row and
     share their fate by position. Very long lines and texts are handled whole. An empty table gives an empty result,

@@ -337,3 +337,28 @@ def test_line_dedup_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
     plan = line_dedup.repeated_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_line_dedup_finds_similar_lines_of_all_kinds(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(of), n))
+    thai = "".join(map(chr, range(0x0E01, 0x0E2F)))
+    kinds = {
+        "one word": lambda: (w := word(30), f"{w}{word(3)}"),
+        "word appended": lambda: (w := word(40), f"{w} {word(3)}"),
+        "changed prefix": lambda: (w := f"{word(20)} {word(20)}", f"{word(2)}{w[2:]}"),
+        "url": lambda: (w := f"https://{word(9)}.example/{word(14)}?id={word(4, '0123456789')}", w[:-2] + word(2, "0123456789")),
+        "row": lambda: (w := ",".join(word(3, "0123456789") for _ in range(12)), w[:-2] + word(2, "0123456789")),
+        "thai": lambda: (w := word(40, thai), f"{word(2, thai)}{w[2:]}"),
+        "short": lambda: (w := word(9), f"{w}{word(1)}"),
+        "sentence": lambda: (w := " ".join(word(int(k)) for k in rng.integers(2, 9, 20)), f"{w[:50]}{word(2)}{w[52:]}"),
+    }
+    pairs = [(kind, *make()) for kind, make in kinds.items() for _ in range(150)]
+    grams = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+    similar = [(k, x, y) for k, x, y in pairs if x != y and 5 * len(grams(x) & grams(y)) >= 4 * len(grams(x) | grams(y))]
+    assert min(Counter(k for k, _, _ in similar).values()) > 100
+    df = spark.createDataFrame([(i, f"{x}\n{y}") for i, (_, x, y) in enumerate(similar)], "doc_id long, text string")
+    found = {r.doc_id for r in line_dedup.repeated_lines(df).where("n_removed = 1").collect()}
+    assert len(found) >= 0.99 * len(similar)
+    of, hit = Counter(k for k, _, _ in similar), Counter(k for i, (k, _, _) in enumerate(similar) if i in found)
+    assert all(hit[k] >= 0.97 * n for k, n in of.items())
