@@ -28,6 +28,8 @@ BOILER_WORDS = frozenset(
 )
 SPACES = re.compile(r"\s+")
 UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
+#: How many characters of content elsewhere one in an ``article`` or ``main`` outweighs.
+PRIOR = 2
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 
 
@@ -150,9 +152,13 @@ def extract(html: str, sigma: float = 1.0) -> str:
     for r in range(len(parent)):
         around = r and top[parent[r]]
         top[r] = around or (r if named[r] else 0)
-    if any(top[r[3]] for r in rows):
-        return "\n".join(r[0] for r in rows if top[r[3]])
-    # No element names the article: go down into the region that holds almost all of the chosen text.
+    # An article or main counts with all its text outside links, and PRIOR times; the rest with what the clusters chose.
+    inside = sum(len(r[0]) for r in rows if top[r[3]] and not r[2])
+    outside = sum(len(r[0]) for r, c in zip(rows, chosen, strict=True) if c and not top[r[3]])
+    if any(top[r[3]] for r in rows) and PRIOR * inside >= outside:
+        kept = {top[r[3]] for r, c in zip(rows, chosen, strict=True) if c and top[r[3]]}  # those with content; all, if none has
+        return "\n".join(r[0] for r in rows if top[r[3]] and (top[r[3]] in kept or not kept))
+    # No element names the article, or it's elsewhere: go down into the region that holds almost all of the chosen text.
     mass = [0] * len(parent)
     for r, c in zip(rows, chosen, strict=True):
         if c:
@@ -182,8 +188,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     block elements, outside of scripts, styles, menus, footers, sidebars, forms and whatever its class, id or role
     names as advert, notice or reader comments. Each block has a text-to-tag ratio (its characters outside links by
     its tags), the ratios are smoothed by a Gaussian, and blocks at or above a threshold out of their mean and
-    deviation are content. Blocks inside an ``article`` or ``main`` are taken whole. Without such an element, the
-    region that holds most of the content is, with short paragraphs between its content blocks.
+    deviation are content. Content tells the region: text in ``article`` and ``main`` elements weighs ``PRIOR`` times,
+    and if it outweighs the content elsewhere, those of them that hold content are taken whole. Otherwise, as on pages
+    with no such element or with teasers alone in them, the region that holds most of the content is taken, with short
+    paragraphs between its content blocks.
 
     White space inside a block becomes one space, blocks are joined by one line feed in page order. Null or empty
     html gives an empty text. Repeated rows give repeated results, null ids and urls pass through, an empty table

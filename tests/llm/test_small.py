@@ -362,3 +362,12 @@ def test_line_dedup_finds_similar_lines_of_all_kinds(spark):
     assert len(found) >= 0.99 * len(similar)
     of, hit = Counter(k for k, _, _ in similar), Counter(k for i, (k, _, _) in enumerate(similar) if i in found)
     assert all(hit[k] >= 0.97 * n for k, n in of.items())
+
+
+def test_html_text_outside_articles():
+    text = [f"Paragraph {k} of the main text is long, " + "with many words in it that nobody links to " * 6 + "." for k in range(6)]
+    main = "<div id=c>" + "".join(f"<p>{x}</p>" for x in text) + "</div>"
+    cards = "".join(f"<article><h3><a href=t{k}>Teaser {k}</a></h3><p>A few words on it.</p></article>" for k in range(3))
+    assert html_extract.extract(f"<body>{main}<div>{cards}</div></body>").split("\n") == text
+    # A named article that outweighs the rest is taken whole, short blocks too.
+    assert html_extract.extract(f"<body><article><h1>Head</h1>{main}<p>End.</p></article><p>{text[0]}</p></body>").split("\n") == ["Head", *text, "End."]
