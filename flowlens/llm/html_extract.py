@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Elements whose whole content is not text of the page's article.
 SKIP = frozenset("head title script style noscript template iframe object svg canvas math form button select textarea nav footer aside dialog menu".split())
+#: Those of them that hold no article either.
+NEVER = frozenset("head title script style noscript template iframe object svg canvas math button select textarea".split())
 #: Elements that end one block of text and begin another.
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header hr address center details summary fieldset hgroup".split()
@@ -20,7 +22,7 @@ SIBLING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 #: Starts of these end an open paragraph.
 NO_P = BLOCK - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd"}
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words of class and id values that mark what surrounds an article.
+#: Whole classes and ids that mark what surrounds an article.
 BOILER_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
     popup modal overlay newsletter subscribe subscription signup login sidebar sidenav rail nav navbar navigation menu breadcrumb breadcrumbs
@@ -34,37 +36,59 @@ CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaptio
 
 
 class _Blocks(HTMLParser):
-    """Streams parser events into blocks: [text pieces, tags, characters in links, region, element]."""
+    """Streams parser events into blocks: [text pieces, tags, characters in links, region, element, boilerplate around it].
+
+    What an article or main lies in, or is, is no boilerplate. So only what can't hold one is skipped at once; the other
+    blocks name the boilerplate around them, and :meth:`content` drops them at the page's end.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # element, region before it, starts boilerplate
+        self.open: list[tuple[str, int, int]] = []  # element, region before it, its boilerplate: -1 none, 0 skipped at once
         self.parent, self.named = [0], [False]  # of each region: the one around it; whether it is an article or main
         self.region, self.skip, self.links = 0, 0, 0
+        self.around: tuple[int, ...] = ()  # boilerplate that is open here
+        self.number, self.cleared = 0, set()  # last number given to boilerplate; numbers of what holds an article or main
         self.blocks: list[list] = []
-        self.fresh = True
+        self.now, self.fresh, self.breaks = None, True, 0  # the last block, whether text begins another, block tags so far
+        self.paused: list[tuple] = []  # these at the start of each boilerplate that is open
 
     def handle_starttag(self, tag, attrs):
         if tag in SIBLING or tag in NO_P:
             self._end_sibling(tag)
         a = {k: v or "" for k, v in attrs}
-        words = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower())) if "class" in a or "id" in a else ()
+        role = a.get("role", "").lower()
+        words = {*a.get("class", "").lower().split(), a.get("id", "").strip().lower()}
         inside = any(self.named[r] for r in self._around(self.region))
-        boiler = tag in SKIP or a.get("role", "").lower() in BOILER_ROLES or "hidden" in a or (tag not in ("html", "body") and not BOILER_WORDS.isdisjoint(words)) or ((tag == "header" or "header" in words) and not inside)
+        named = tag in ("article", "main") or role == "main" or a.get("itemprop") == "articleBody"
+        nested = any(t == "article" for t, _, _ in self.open)
+        boiler = -1
+        if tag in NEVER or "hidden" in a:
+            boiler = 0
+        elif named and not nested:
+            self.cleared.update(self.around)
+        elif tag in SKIP or role in BOILER_ROLES or (tag not in ("html", "body") and not BOILER_WORDS.isdisjoint(words)) or ((tag == "header" or "header" in words) and not inside):
+            self.number += 1
+            boiler = self.number
         if tag in BLOCK:
             self.fresh = True
-        elif self.blocks and not self.fresh:
-            self.blocks[-1][1] += 1
+            self.breaks += 1
+        elif not self.fresh:
+            self.now[1] += 1
         if tag == "br":
             self.handle_data(" ")
         if tag in VOID:
             return
         self.open.append((tag, self.region, boiler))
-        self.skip += boiler
+        self.skip += boiler == 0
+        if boiler > 0:
+            self.around += (boiler,)
+            self.paused.append((self.now, self.fresh, self.breaks))
+            self.fresh = True
         self.links += tag == "a"
-        if tag in ("article", "main", "section", "div", "td", "body") or a.get("role") == "main":
+        if named or tag in ("section", "div", "td", "body"):
             self.parent.append(self.region)
-            self.named.append(tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody")
+            self.named.append(named)
             self.region = len(self.parent) - 1
 
     def handle_startendtag(self, tag, attrs):
@@ -75,6 +99,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.fresh = True
+            self.breaks += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._close(k)
@@ -87,17 +112,21 @@ class _Blocks(HTMLParser):
             if data.isspace():
                 return
             element = next((t for t, _, _ in reversed(self.open) if t in BLOCK), "")
-            self.blocks.append([[], 1, 0, self.region, element])
-            self.fresh = False
-        self.blocks[-1][0].append(data)
+            self.now, self.fresh = [[], 1, 0, self.region, element, self.around], False
+            self.blocks.append(self.now)
+        self.now[0].append(data)
         if self.links:
-            self.blocks[-1][2] += len(data)
+            self.now[2] += len(data)
 
     def close(self):
         if UNFINISHED.match(self.rawdata):
             self.rawdata = ""  # a tag or comment that the page's end cuts off is no text
         super().close()
 
+    def content(self):
+        """The blocks that aren't in boilerplate, without what told so."""
+        return [b[:5] for b in self.blocks if self.cleared.issuperset(b[5])]
+
     def _around(self, region):
         while region:
             yield region
@@ -115,7 +144,12 @@ class _Blocks(HTMLParser):
     def _close(self, k):
         for tag, region, boiler in reversed(self.open[k:]):
             self.region = region
-            self.skip -= boiler
+            self.skip -= boiler == 0
+            if boiler > 0:
+                self.around = self.around[:-1]
+                now, fresh, breaks = self.paused.pop()
+                # The text around boilerplate without block elements, such as a span, is one block.
+                self.now, self.fresh = (now, fresh) if breaks == self.breaks else (self.now, True)
             self.links -= tag == "a"
         del self.open[k:]
 
@@ -138,7 +172,7 @@ def extract(html: str, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     rows = []
-    for pieces, tags, linked, region, element in parser.blocks:
+    for pieces, tags, linked, region, element in parser.content():
         if text := SPACES.sub(" ", "".join(pieces)).strip():
             rows.append((text, len(text) / tags * (1 - min(1.0, linked / len(text))), linked > 0.5 * len(text), region, element))
     if not rows:
@@ -186,7 +220,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     A standard-library parser streams start, end and text events. They build blocks ("lines"): runs of text between
     block elements, outside of scripts, styles, menus, footers, sidebars, forms and whatever its class, id or role
-    names as advert, notice or reader comments. Each block has a text-to-tag ratio (its characters outside links by
+    names as advert, notice or reader comments, unless an ``article`` or ``main`` is what is named so or lies within;
+    a name is a whole class or id, and other names are left to the clusters. Inside an ``article`` another one can be
+    reader comments. Each block has a text-to-tag ratio (its characters outside links by
     its tags), the ratios are smoothed by a Gaussian, and blocks at or above a threshold out of their mean and
     deviation are content. Content tells the region: text in ``article`` and ``main`` elements weighs ``PRIOR`` times,
     and if it outweighs the content elsewhere, those of them that hold content are taken whole. Otherwise, as on pages

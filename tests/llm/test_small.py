@@ -371,3 +371,15 @@ def test_html_text_outside_articles():
     assert html_extract.extract(f"<body>{main}<div>{cards}</div></body>").split("\n") == text
     # A named article that outweighs the rest is taken whole, short blocks too.
     assert html_extract.extract(f"<body><article><h1>Head</h1>{main}<p>End.</p></article><p>{text[0]}</p></body>").split("\n") == ["Head", *text, "End."]
+
+
+@pytest.mark.parametrize("wrap", ["<div class='layout has-sidebar'>{}</div>", "<div class='no-nav'>{}</div>", "<div class=sidebar>{}</div>", "<form id=f>{}</form>", "<header><div class='ad x'>{}</div></header>", "{}"])
+@pytest.mark.parametrize("tag", ["article class='post tag-social comment-open'", "main id='related-works'", "article class=related", "main role=search", "article"])
+def test_html_never_skips_an_article(wrap, tag):
+    own = f"<{tag}><h1>Head</h1><p>Text <span class=ad>Buy</span>goes on.</p><div class=comments><article class=comment><p>I liked it</p></article></div></{tag.split()[0]}>"
+    assert html_extract.extract(f"<body><nav>Menu</nav><div class='ad x'>Buy now</div>{wrap.format(own)}<footer>F</footer></body>").startswith("Head\nText goes on.")
+
+
+def test_html_skips_named_boilerplate():
+    page = "<body><div class='big sidebar'>Side</div><article><p>Text of it.</p><div class=comments><article class=comment><p>I liked it</p></article></div></article><div id=footer>F</div></body>"
+    assert html_extract.extract(page) == "Text of it."
