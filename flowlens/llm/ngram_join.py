@@ -226,7 +226,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     def verify(lists: DataFrame) -> DataFrame:
         rows = cut(lists.select("list", F.explode("ents").alias("ent")), "rows")
         wanted = rows.select("ent").distinct().join(keepers, "ent").select("keeper")
-        some = src.join(wanted, F.col("doc_id") == F.col("keeper"), "left_semi")
+        # A class all of whose rows have no id has a null keeper.
+        some = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
         grams = shingle_sets(some, width, num, den, "grams").select("ent", "grams").dropDuplicates(["ent"])
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -383,3 +383,13 @@ def test_html_never_skips_an_article(wrap, tag):
 def test_html_skips_named_boilerplate():
     page = "<body><div class='big sidebar'>Side</div><article><p>Text of it.</p><div class=comments><article class=comment><p>I liked it</p></article></div></article><div id=footer>F</div></body>"
     assert html_extract.extract(page) == "Text of it."
+
+
+def test_null_id_bridges_two_documents(spark):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(w[:50])), (None, " ".join(w[4:54])), (9, " ".join(w[8:58]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(46)} for _, t in rows]
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert near(0, 1) and near(1, 2) and not near(0, 2)
+    assert [r.component_id for r in ngram_join.ngram_components(df).collect()] == [5, 5, 5]
