@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Characters of the contract's white space class ``[\x20\x09-\x0D]``, which is what ``bytes.split()`` splits at.
 SPACE = " \t\n\x0b\x0c\r"
@@ -55,6 +55,24 @@ def n_words(text) -> F.Column:
     return F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD_RE))).cast("long")
 
 
+def may_be_in(rows: DataFrame, key, wanted: DataFrame, out: str, most_bits: int = 1 << 26) -> DataFrame:
+    """Add boolean ``out``: true for all rows whose ``key`` (a long hash) is in the one column of ``wanted``, and for few others.
+
+    ``wanted`` should be written already, as it is read twice. Its hashes set bits of a map with about 16 bits for each,
+    but never more than ``most_bits``, so that what is broadcast is bounded (2^20 rows of two longs). Beyond that more
+    rows that aren't wanted pass: the filter spares work and decides nothing.
+    """
+    h = wanted.columns[0]
+    bits = min(most_bits, 1 << max(16, (16 * wanted.count()).bit_length()))
+    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(bits // 64 - 1)
+    bit = lambda x: x.bitwiseAND(63).cast("int")
+    keyed = wanted.where(F.col(h).isNotNull()).select(word(F.col(h)).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(h))).alias("__bit"))
+    words = keyed.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    joined = rows.withColumn("__key", key).withColumn("__at", word(F.col("__key"))).join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
+    hit = F.call_function("shiftrightunsigned", F.coalesce("__bits", F.lit(0).cast("long")), bit(F.col("__key"))).bitwiseAND(F.lit(1).cast("long")) == 1
+    return joined.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__key", "__at", "__word", "__bits")
+
+
 def running_start(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one in ascending ``key`` (null keys first, ties by the other columns).
 
@@ -79,7 +97,8 @@ def running_start(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), part, np.int32)), pa.array(ends - v)], names=[*b.schema.names, "__part", "__run"])
 
     runs = cut(ranged.mapInArrow(run, schema), "runs")
-    totals = runs.groupBy("__part").agg(F.sum(value).alias("__total"))
     # One row for each partition of the range exchange: bounded by spark.sql.shuffle.partitions.
-    offsets = totals.alias("a").join(totals.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__total"), F.lit(0)).alias("__offset"))
+    totals = runs.groupBy("__part").agg(F.sum(value).alias("__total"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
     return runs.join(F.broadcast(offsets), "__part").select(*cols, (F.col("__run") + F.col("__offset")).cast("long").alias(out))

@@ -14,17 +14,23 @@ from ._base import cut
 
 
 def shared_members(sig: DataFrame) -> DataFrame:
-    """``lead, ent, n`` for all buckets of ``sig`` (``bucket, ent``) that hold two or more different ents.
+    """``lead, ent`` for all buckets of ``sig`` (``bucket, ent``) that hold two or more different ents: each but the lead, with the lead.
 
-    A bucket's lead is its least ent. Buckets with one lead are one group of ``n`` members, so things that share many
-    buckets are in few groups. Counting aggregates before it shuffles; a hot bucket is then a skewed join, which Spark
-    splits.
+    A bucket's lead is its least ent. Buckets with one lead are one group, so things that share many buckets are in
+    few groups. Members are shuffled once, by bucket: where they arrive, an aggregate finds the leads, and a hash join
+    with the few buckets of two or more gives their members and drops all others.
     """
-    again = sig.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = cut(sig.join(again, "bucket").select("bucket", "ent").distinct(), "members")
-    leads = members.groupBy("bucket").agg(F.min("ent").alias("lead"), F.max("ent").alias("last")).where("lead < last").select("bucket", "lead")
-    groups = cut(members.join(leads, "bucket").select("lead", "ent").distinct(), "groups")
-    return groups.join(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "lead")
+    n = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sig.select("bucket", "ent").repartition(n, "bucket")
+    leads = dealt.groupBy("bucket").agg(F.min("ent").alias("lead"), F.max("ent").alias("last")).where("lead < last").select("bucket", "lead")
+    return dealt.join(leads.hint("shuffle_hash"), "bucket").where("ent <> lead").select("lead", "ent").distinct()
+
+
+def with_leads(pairs: DataFrame) -> DataFrame:
+    """``lead, ent, n``: the members of each group of ``pairs``, its lead among them, with their number."""
+    sizes = pairs.groupBy("lead").agg((F.count(F.lit(1)) + 1).alias("n"))
+    members = pairs.unionByName(pairs.select("lead", F.col("lead").alias("ent")).distinct())
+    return members.join(sizes, "lead")
 
 
 def _not_covered(lists: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 def components(sig: DataFrame, verify: Callable[[DataFrame], DataFrame], cap: int) -> DataFrame:
     """``ent, comp`` of all ents that are linked. ``verify`` makes links ``a, b`` out of lists ``list, ents``."""
-    members = cut(shared_members(sig), "shared")
+    members = with_leads(cut(shared_members(sig), "shared"))
     lists, big = first_lists(members, cap)
     links = cut(verify(lists), "links")
     labels = connected(links)

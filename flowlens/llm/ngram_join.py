@@ -8,7 +8,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._base import cut, texts
+from ._base import cut, may_be_in, texts
 from ._cluster import components
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -83,7 +83,7 @@ def path_segments(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     """
     keys = []
     n = len(grams)
-    for c, (lo, hi, m, slack, orders) in enumerate(size_classes(num, den)):
+    for c, (lo, hi, m, slack, orders) in enumerate(size_classes(num, den, 1 << max(26, n.bit_length() + 1))):
         if hi < n or not m:
             continue
         if num * lo > den * n:
@@ -173,12 +173,16 @@ def trie_links(sets: list[np.ndarray], num: int, den: int):
 
 
 def shingle_sets(docs: DataFrame, width: int, num: int, den: int, what: str) -> DataFrame:
-    """Of each row ``doc_id, text``: ``doc_id, n, ent`` (the set's size and digest), with ``buckets`` or ``grams`` as ``what`` says."""
+    """Of each row ``doc_id, text``: ``doc_id, n, ent`` (the set's size and digest), with ``buckets`` or ``grams`` as ``what`` says.
+
+    Of equal sets in one task, the first has its buckets or grams, the others null; so a large group of copies is as
+    many rows with them as tasks.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        shingle = Shingler(width)
+        shingle, known = Shingler(width), set()
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
@@ -187,7 +191,11 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, what: str) ->
                     grams = shingle(raw)
                     n.append(len(grams))
                     ent.append(int(_mix(np.add.reduce(_mix(grams ^ _C2), keepdims=True) + np.uint64(len(grams)))[0].astype(np.int64)) if len(grams) else None)
-                    more.append(path_segments(grams, num, den).view(np.int64) if what == "buckets" else grams.tobytes() if what == "grams" else None)
+                    if not what or ent[-1] in known:
+                        more.append(None)
+                        continue
+                    known.add(ent[-1])
+                    more.append(path_segments(grams, num, den).view(np.int64) if what == "buckets" else grams.tobytes())
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ent, pa.int64())]
                 if what:
                     cols.append(pa.array(more, pa.list_(pa.int64()) if what == "buckets" else pa.binary()))
@@ -225,10 +233,11 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
     def verify(lists: DataFrame) -> DataFrame:
         rows = cut(lists.select("list", F.explode("ents").alias("ent")), "rows")
-        wanted = rows.select("ent").distinct().join(keepers, "ent").select("keeper")
-        # A class all of whose rows have no id has a null keeper.
-        some = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
-        grams = shingle_sets(some, width, num, den, "grams").select("ent", "grams").dropDuplicates(["ent"])
+        # A class all of whose rows have no id has a null keeper; xxhash64 of null is a number like any other.
+        wanted = cut(rows.select("ent").distinct().join(keepers, "ent").select("keeper"), "wanted")
+        near = may_be_in(src, F.xxhash64("doc_id"), wanted.select(F.xxhash64("keeper")), "near").where("near").select("doc_id", "text")
+        some = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
+        grams = shingle_sets(some, width, num, den, "grams").where("grams IS NOT NULL").select("ent", "grams").dropDuplicates(["ent"])
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
         def links(batches):
