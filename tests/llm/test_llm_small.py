@@ -283,13 +283,59 @@ def brute_removed(texts, width=100):
     return out
 
 
-@pytest.mark.parametrize("shard", [4_000_000, 500])
-def test_suffix_dedup(spark, docs, none, shard):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_bytes(docs, shard_bytes=shard).collect()}
+@pytest.mark.parametrize(("shard", "hot"), [(500_000, 20_000), (500, 20_000), (500, 2)])
+def test_suffix_dedup(spark, docs, none, shard, hot):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_bytes(docs, shard_bytes=shard, hot_parts=hot).collect()}
     assert [got[i] for i in range(len(TEXTS))] == brute_removed(TEXTS)
     assert suffix_dedup.removed_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize(("width", "hot"), [(100, 20_000), (100, 3), (200, 20_000)])
+def test_suffix_dedup_of_common_passages(spark, width, hot):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdeé "), 6))
+    passage = " ".join(word() for _ in range(60))
+    texts = []
+    for k in range(40):
+        w = [word() for _ in range(rng.integers(0, 40))]
+        own = passage if k % 3 else "".join(c if rng.random() > 0.01 else "z" for c in passage)
+        texts.append(" ".join([*w, own[: rng.integers(50, len(own))], *w[::-1], *([passage] if k % 5 == 0 else [])]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([*rows, rows[3], rows[7]], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_bytes(df, width=width, shard_bytes=3000, hot_parts=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts, width)
+
+
+@pytest.fixture
+def all_may_be_in(monkeypatch):
+    """The filters before joins let all rows pass, as they may."""
+    for module in (exact_dedup, line_dedup, ngram_join, suffix_dedup):
+        if hasattr(module, "may_be_in"):
+            monkeypatch.setattr(module, "may_be_in", lambda rows, key, wanted, out: rows.withColumn(out, F.lit(True)))
+
+
+def test_suffix_dedup_without_filters(docs, all_may_be_in):
+    rows = suffix_dedup.removed_bytes(docs).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert len(rows) == len(TEXTS) and [got[i] for i in range(len(TEXTS))] == brute_removed(TEXTS)
+
+
+def test_long_texts_are_cut_into_overlapping_pieces():
+    rng = np.random.default_rng(8)
+    raw = [bytes(rng.integers(97, 100, n, np.uint8)) for n in (0, 50, 5000, 130, 1)]
+    for width, most in ((100, 300), (40, 128)):
+        want = {(i, k) for i, x in enumerate(raw) for k in range(len(x) - width + 1)}
+        got = []
+        for of, at, data, ends in suffix_dedup._pieces(raw, width, most):
+            assert len(data) <= 2 * (most + width)
+            _, _, first, last = suffix_dedup.anchors(data, ends, width)
+            for a, z in zip(first.tolist(), last.tolist(), strict=True):
+                k = int(np.searchsorted(ends, a, side="right"))
+                start = int(ends[k - 1]) if k else 0
+                got += [(int(of[k]), int(at[k]) + p - start) for p in range(a, z + 1)]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_suffix_array_repeats():
     rng = np.random.default_rng(4)
     for _ in range(30):
@@ -299,11 +345,12 @@ def test_suffix_array_repeats():
         seen, want = set(), []
         for p in parts:
             want.append([i for i in range(len(p) - width + 1) if p[i : i + width] in seen or seen.add(p[i : i + width])])
-        got, own = suffix_dedup.repeats(parts, width, [])
-        assert [g.tolist() for g in got] == want and own == sorted(seen)
+        got, (text, at) = suffix_dedup.repeats(parts, width, [])
+        assert [g.tolist() for g in got] == want and [text[i : i + width].tobytes() for i in at.tolist()] == sorted(seen)
         first, old = suffix_dedup.repeats(parts[:4], width, [])
-        second, _ = suffix_dedup.repeats(parts[4:], width, old)
-        assert [g.tolist() for g in first + second] == want
+        second, more = suffix_dedup.repeats(parts[4:7], width, [old])
+        third, _ = suffix_dedup.repeats(parts[7:], width, [old, more])
+        assert [g.tolist() for g in first + second + third] == want
 
 
 def test_chat(spark):
