@@ -77,7 +77,7 @@ class PieceEncoder:
         spaced, fed = self.spaced.__getitem__, self.fed.__getitem__
         out = []
         for x in text:
-            if len(x.split()) != x.count(" ") + x.count("\n") + 1:
+            if " ".join(x.split()) != x.replace("\n", " "):  # other white space than single spaces and line feeds
                 out.append(np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, WIDTH).tobytes())
                 continue
             ids = []
@@ -95,7 +95,7 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def boundaries(ids: np.ndarray, ends: np.ndarray, bits: int = 8, window: int = 16, longest: int = 4096) -> np.ndarray:
+def boundaries(ids: np.ndarray, ends: np.ndarray, bits: int = 10, window: int = 16, longest: int = 16_384) -> np.ndarray:
     """Ends of the chunks of texts whose ids lie one after the other in ``ids``, up to ``ends``.
 
     A chunk ends where a rolling hash of the last ``window`` ids has ``bits`` zero bits (never in the first ids of a
@@ -119,12 +119,44 @@ def boundaries(ids: np.ndarray, ends: np.ndarray, bits: int = 8, window: int = 1
     return out
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root of the binary hash tree over ``leaves``; leaves and inner nodes are told apart by a first byte."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + b"".join(level[i : i + 2])).digest() for i in range(0, len(level), 2)]
-    return level[0]
+class Merkle:
+    """Root of the binary hash tree over leaves that come one by one; leaves and inner nodes are told apart by a first byte."""
+
+    def __init__(self):
+        self.open: list[bytes | None] = []  # of each level, the node that has no sibling yet
+        self.count: list[int] = []
+
+    def add(self, leaf: bytes) -> None:
+        self._push(0, hashlib.sha256(b"\0" + leaf).digest())
+
+    def _push(self, k: int, node: bytes) -> None:
+        while True:
+            if k == len(self.open):
+                self.open.append(None)
+                self.count.append(0)
+            self.count[k] += 1
+            if self.open[k] is None:
+                self.open[k] = node
+                return
+            node, self.open[k] = hashlib.sha256(b"\1" + self.open[k] + node).digest(), None
+            k += 1
+
+    def root(self) -> bytes:
+        """The root; no leaf can be added after it."""
+        k = 0
+        while self.count and self.count[k] > 1:
+            if self.open[k] is not None:
+                node, self.open[k] = self.open[k], None
+                self._push(k + 1, hashlib.sha256(b"\1" + node).digest())
+            k += 1
+        return self.open[k] if self.count else hashlib.sha256(b"").digest()
+
+
+def merkle(leaves) -> bytes:
+    tree = Merkle()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
 
 
 def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,19 +253,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     placed = running_start(rows.mapInArrow(rooted, f"{rows._jdf.schema().toDDL()}, root binary"), "doc_id", "n_tokens", "start")
     placed.repartitionByRange(n, "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    def roots(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        first, own = None, []
-        for b in batches:
-            own += b.column(1).to_pylist()
-            first = b.column(0)[0].as_py() if first is None and b.num_rows else first
-        if own:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first_start": pa.array([first], pa.int64()), "n_docs": pa.array([len(own)], pa.int64()), "root": pa.array([merkle(own)], pa.binary())})
-
     ordered = spark.read.parquet(f"{path}/recipes").select("start", "root").repartitionByRange(n, "start").sortWithinPartitions("start")
-    parts = cut(ordered.mapInArrow(roots, "part int, first_start long, n_docs long, root binary"), "manifest")
+    ranged = ordered.select(F.spark_partition_id().alias("part"), "start", "root")
+    parts = cut(range_roots(ranged), "manifest")
     # One row for each partition of the range exchange: bounded by spark.sql.shuffle.partitions.
     top = merkle([r.root for r in parts.orderBy("first_start").select("root").collect()])
     total = parts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
@@ -242,6 +264,55 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     drop_path(spark, f"{path}/stored/kind=ref")
 
 
+def range_roots(rows: DataFrame) -> DataFrame:
+    """``part, first_start, n_docs, root`` of each part of rows ``part, start, root`` that lie sorted in their partitions."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("part", pa.int32()), ("first_start", pa.int64()), ("n_docs", pa.int64()), ("root", pa.binary())])
+        now, first, count, tree = None, None, 0, Merkle()
+        for b in batches:
+            for part, start, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pylist([{"part": now, "first_start": first, "n_docs": count, "root": tree.root()}], schema=schema)
+                    now, first, count, tree = part, start, 0, Merkle()
+                tree.add(root)
+                count += 1
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([{"part": now, "first_start": first, "n_docs": count, "root": tree.root()}], schema=schema)
+
+    return rows.mapInArrow(run, "part int, first_start long, n_docs long, root binary")
+
+
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Work out the roots of the recipes' ranges anew and hold them against the manifest; a difference raises an error.
+
+    The driver sees the manifest's rows alone, one for each partition that wrote it. A recipe's hashes are held against
+    its own root where its chunks are put together.
+    """
+    manifest = {r.part: (r.first_start, r.n_docs, bytes(r.root)) for r in spark.read.parquet(f"{path}/manifest").collect()}
+    _, total, top = manifest.pop(-1)
+    first = sorted((v[0], k) for k, v in manifest.items())
+    if merkle([manifest[k][2] for _, k in first]) != top or sum(v[1] for v in manifest.values()) != total:
+        raise RuntimeError("the manifest's root is not that of its ranges")
+
+    def placed(batches):
+        import pyarrow as pa
+
+        at, number = np.array([x for x, _ in first], np.int64), np.array([k for _, k in first], np.int32)
+        for b in batches:
+            k = np.searchsorted(at, b.column(0).to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(number[k] if len(at) else np.full(b.num_rows, -2, np.int32)), *b.columns], names=["part", *b.schema.names])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.read.parquet(f"{path}/recipes").select("start", "root").mapInArrow(placed, "part int, start long, root binary")
+    again = range_roots(rows.repartition(n, "part").sortWithinPartitions("part", "start"))
+    if {r.part: (r.first_start, r.n_docs, bytes(r.root)) for r in again.collect()} != manifest:
+        raise RuntimeError("the recipes are not those of the manifest")
+
+
 def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
     """``sha, ids`` of each stored chunk. A chunk whose ids don't have the SHA-256 it is stored under stops the job."""
     rows = spark.read.schema("sha binary, ids binary, kind string").parquet(f"{path}/stored").where("kind = 'chunk'")
@@ -255,6 +326,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     Every chunk must have the SHA-256 it is stored under, every document the Merkle root of its recipe; a failure
     stops the job. Documents with one root are one stream, so copies are put together once.
     """
+    verify_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes").select("root", "shas").dropDuplicates(["root"])
     refs = recipes.select("root", F.posexplode("shas").alias("pos", "sha"))
     found = refs.join(stored_chunks(spark, path), "sha", "left")
@@ -321,6 +393,7 @@ def joined_crc(crcs: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndar
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files: crc32 of its ids as unsigned 32-bit integers.
 
+    The recipes must have the Merkle roots of the manifest (:func:`verify_manifest`); a chunk that is gone stops the job.
     Each stored chunk is read and held against its SHA-256, and its crc32 taken, once. A document's crc32 follows from
     those of its chunks, put together in the order of its recipe, which must have the recipe's Merkle root; so hashes
     are shuffled, and no ids. (:func:`read_store` puts the ids themselves together.)
@@ -359,9 +432,12 @@ def stored_documents(spark: SparkSession, path: str) -> DataFrame:
                 held = held[cut_at:]
         yield done(held)
 
+    verify_manifest(spark, path)
     chunks = stored_chunks(spark, path).mapInArrow(digest, "sha binary, n int, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("root", "shas").dropDuplicates(["root"]).select("root", F.posexplode("shas").alias("pos", "sha"))
-    rows = refs.join(chunks, "sha").repartition(n, "root").sortWithinPartitions("root", "pos").select("root", "sha", "n", "crc")
+    lost = F.raise_error(F.concat(F.lit("chunk "), F.hex("sha"), F.lit(" is not in the store")))
+    found = refs.join(chunks, "sha", "left").select("root", "pos", "sha", F.when(F.col("crc").isNull(), lost).otherwise(F.col("n")).alias("n"), "crc")
+    rows = found.repartition(n, "root").sortWithinPartitions("root", "pos").select("root", "sha", "n", "crc")
     streams = rows.mapInArrow(whole, "root binary, n_tokens long, ids_crc32 long")
-    return recipes.select("doc_id", "start", "root").join(streams, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return recipes.select("doc_id", "start", "root").join(streams, "root", "left").select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -268,6 +268,46 @@ def test_damaged_chunk_is_found(spark, docs, tmp_path):
         token_store.stored_documents(spark, at).collect()
 
 
+def test_lost_recipes_and_chunks_are_found(spark, docs, tmp_path):
+    from pyspark.errors import PySparkException
+
+    at = f"file://{tmp_path}/store"
+    token_store.write_store(docs, at, P.path("byte_bpe_50k.json"), 2)
+    chunks = spark.read.parquet(f"{at}/stored/kind=chunk").collect()
+    spark.createDataFrame(chunks[1:], spark.read.parquet(f"{at}/stored/kind=chunk").schema).write.mode("overwrite").parquet(f"{at}/stored/kind=chunk")
+    with pytest.raises(PySparkException):
+        token_store.stored_documents(spark, at).collect()
+    recipes = spark.read.parquet(f"{at}/recipes").collect()
+    spark.createDataFrame(recipes[:-1], spark.read.parquet(f"{at}/recipes").schema).write.mode("overwrite").parquet(f"{at}/recipes")
+    with pytest.raises(RuntimeError):
+        token_store.stored_documents(spark, at)
+
+
+def test_merkle_roots():
+    def plain(leaves):
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + b"".join(level[i : i + 2])).digest() for i in range(0, len(level), 2)]
+        return level[0]
+
+    for n in range(40):
+        leaves = [bytes([k]) for k in range(n)]
+        assert token_store.merkle(leaves) == plain(leaves)
+
+
+def test_piece_encoder_equals_the_library():
+    path = P.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(12)
+    some = ["a", "b", "the", "I'll", "'S", "12", "½", "é", "ß", "漢字", "\u0301", "İ", "!", "#$", "\xad", "ª", "ʰ", "ԱԲ", "😀", "<|endoftext|>", "<|"]
+    space = [" ", " ", " ", "\n", "\n", "  ", "\n\n", " \n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "", ""]
+    texts = ["a\tb\tc\n\n", "name\tvalue\nx\ty\n\n", "a\tb\n\n\x0cc", "A\u3000B\u3000C\n\n", "a\x1fb\n"]
+    for _ in range(6000):
+        texts.append("".join(str(rng.choice(some)) + str(rng.choice(space)) for _ in range(rng.integers(0, 9))))
+    t = Tokenizer.from_file(path)
+    got = token_store.PieceEncoder(path).encode(texts)
+    assert [np.frombuffer(x, token_store.WIDTH).tolist() for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def brute_removed(texts, width=100):
     seen, out = set(), []
     for t in texts:
