@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +238,19 @@ def test_exact_dedup(docs, none):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if r.kept}
 
 
+@pytest.mark.parametrize("filters", [True, False])
+def test_keep_first_copies_of_repeated_ids(spark, request, filters):
+    if not filters:
+        request.getfixturevalue("all_may_be_in")
+    rows = [(1, "a b"), (1, "a b"), (1, "other"), (2, "ab"), (2, "a  b"), (2, " ab "), (None, "x y"), (None, "x y"), (None, "ab"), (3, "other"), (4, None), (5, ""), (6, "alone"), (None, "alone 2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__rows", F.lit(1)).repartition(3)
+    out = exact_dedup.keep_first_copies(df)
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert out.columns == df.columns and len(got) == 6
+    assert [g for g in got if "a" not in g[1] or "alone" in g[1]] == sorted([("None", "x y"), ("1", "other"), ("4", "None"), ("6", "alone"), ("None", "alone 2")])
+    assert [g for g in got if g[0] == "2"][0][1].count(" ") == 2  # the longest original, of a tie the greater hash
+
+
 def test_token_store(spark, docs, none, tmp_path):
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
@@ -304,8 +318,11 @@ def test_piece_encoder_equals_the_library():
     for _ in range(6000):
         texts.append("".join(str(rng.choice(some)) + str(rng.choice(space)) for _ in range(rng.integers(0, 9))))
     t = Tokenizer.from_file(path)
-    got = token_store.PieceEncoder(path).encode(texts)
-    assert [np.frombuffer(x, token_store.WIDTH).tolist() for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    encoder = token_store.PieceEncoder(path, most=500)
+    for lo in range(0, len(texts), 1000):
+        ids, ends = encoder.encode(pa.array(texts[lo : lo + 1000]), np.array([2], token_store.WIDTH).tobytes())
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*w, 2] for w in want[lo : lo + 1000]]
 
 
 def brute_removed(texts, width=100):
