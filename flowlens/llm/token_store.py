@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import zlib
 
 import numpy as np
@@ -15,78 +14,96 @@ from ._base import cut, drop_path, running_start, texts
 #: Ids are stored as unsigned little-endian integers of two bytes, and so must be below this.
 WIDTH, LIMIT = "<u2", 1 << 16
 #: A byte-level pre-tokenizer always begins a new word at a single space or line feed between two other characters.
-#: Texts in which all white space is like that are cut there; others are encoded as they are.
-#: What the pre-tokenizer's pattern amounts to on a piece of Latin characters, for which letters and digits are plain ranges.
-LETTERS, DIGITS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\n")
-LATIN_PIECE = re.compile(r"[ \n]?[!-~\u00a1-\u024f]+")
-
-
-def byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+#: Texts in which all white space is like that are cut there; others are encoded as they are. In the vocabulary these
+#: two characters stand for themselves as follows.
+BEGIN = {" ": "\u0120", "\n": "\u010a"}
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece and word once while it stays known.
+    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece once while it stays known.
 
-    Cutting at single spaces and line feeds never changes the ids. A piece of Latin characters is split into words
-    here and its new words go to the library's model; any other piece, and one with an added token's mark, goes
-    through the library's whole chain.
+    A piece is what stands before the first single space or line feed of a text, or one of these with what follows it
+    up to the next. Cutting there never changes the ids. A batch's pieces are made distinct, looked up, and its ids
+    gathered with Arrow and numpy; new pieces go to the library, a hundred as one text: the ids of each begin at a
+    token that begins with the piece's space or line feed, as no other token of the piece has one.
     """
 
     def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
-        class Known(dict):
-            def __init__(self, before):
-                self.before = before
-
-            def __missing__(self, piece):
-                ids = self[piece] = encode(self.before + piece)
-                return ids
-
-        encode = self._piece
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > LIMIT:
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values()) >= LIMIT:
             raise ValueError(f"ids must be below {LIMIT}")
-        self.most, self.letters = most, byte_letters()
-        self.spaced, self.fed, self.words = Known(" "), Known("\n"), {}
-        self.bytes = [k.to_bytes(2, "little") for k in range(LIMIT)]
-
-    def _piece(self, piece: str) -> bytes:
-        if LATIN_PIECE.fullmatch(piece) and "<|" not in piece:
-            words = LATIN_WORDS.findall(piece)
-            if len(words) == 1:
-                return self._word(piece)
-            return b"".join([self.spaced[w[1:]] if w[0] == " " else self.words.get(w) or self.words.setdefault(w, self._word(w)) for w in words])
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, WIDTH).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return b"".join([self.bytes[t.id] for t in tokens])
-
-    def encode(self, text: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        for known in (self.spaced, self.fed, self.words):
-            if len(known) > self.most:
-                known.clear()
-        spaced, fed = self.spaced.__getitem__, self.fed.__getitem__
-        out = []
-        for x in text:
-            if " ".join(x.split()) != x.replace("\n", " "):  # other white space than single spaces and line feeds
-                out.append(np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, WIDTH).tobytes())
-                continue
-            ids = []
-            for k, line in enumerate(x.split("\n")):
-                first, *rest = line.split(" ")
-                ids.append(fed(first) if k else self._piece(first) if first else b"")
-                ids += map(spaced, rest)
-            out.append(b"".join(ids))
-        return out
+        self.most = most
+        # A piece without its space, or with its line feed. When ``known`` is full it becomes ``before``, of which what is needed again goes back.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.begins = {c: np.zeros(LIMIT, bool) for c in BEGIN}
+        for token, k in vocabulary.items():
+            for c, letter in BEGIN.items():
+                self.begins[c][k] = token.startswith(letter)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, WIDTH).tobytes()
+
+    def _learn(self, pieces: list[str], together: int = 100) -> None:
+        for c in BEGIN:
+            own = [p for p in pieces if (p[0] == "\n") == (c == "\n")]
+            groups = [own[lo : lo + together] for lo in range(0, len(own), together)]
+            for lo in range(0, len(groups), 200):
+                some = groups[lo : lo + 200]
+                marked = ["".join(g) if c == "\n" else " " + " ".join(g) for g in some]
+                for group, encoding in zip(some, self.tokenizer.encode_batch_fast(marked, add_special_tokens=False), strict=True):
+                    ids = np.array(encoding.ids, WIDTH)
+                    at = 2 * np.flatnonzero(self.begins[c][ids])
+                    if len(at) == len(group):
+                        data = ids.tobytes()
+                        self.known.update(zip(group, [data[i:j] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(data)], strict=True)], strict=True))
+                    else:
+                        self.known.update((p, self._whole(p if c == "\n" else f" {p}")) for p in group)
+
+    def encode(self, column, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column of texts, one after the other, each with ``tail`` behind; and the ends of the texts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(column):
+            return np.zeros(0, WIDTH), np.zeros(0, np.int64)
+        # Texts with other white space than single spaces and line feeds between characters are encoded as they are.
+        texts = column.to_pylist()
+        whole = np.fromiter((not x or " ".join(x.split()) != x.replace("\n", " ") for x in texts), bool, len(texts))
+        column = pc.if_else(pa.array(whole), "", column)
+        # The line feed goes on with its piece.
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        flat = lists.flatten().dictionary_encode()
+        codes, pieces = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        size = pc.list_value_length(lists).to_numpy()
+        starts = np.cumsum(size) - size
+        if 2 * len(self.known) > self.most:
+            self.known, self.before = {}, self.known
+        new = [p for p in pieces if p not in self.known]
+        old = [self.before.get(p) for p in new]
+        self.known.update((p, x) for p, x in zip(new, old, strict=True) if x is not None)
+        self._learn([p for p, x in zip(new, old, strict=True) if p and x is None])
+        parts = [self.known.get(p, b"") for p in pieces]
+        # What stands first in each text: all of it, or the piece before any white space.
+        heads = [pieces[k] for k in codes[starts].tolist()]
+        heads = [x if w else h for x, w, h in zip(texts, whole.tolist(), heads, strict=True)]
+        every = len(parts) + np.arange(len(heads))
+        parts += [np.array(e.ids, WIDTH).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        parts.append(tail)
+        codes = codes.astype(np.int64)
+        codes[starts] = every
+        codes = np.insert(codes, starts + size, len(parts) - 1)
+        length = np.array([len(x) // 2 for x in parts])
+        begin = np.cumsum(length) - length
+        n = length[codes]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(parts), WIDTH)[np.arange(ends[-1]) + np.repeat(begin[codes] - ends + n, n)]
+        return ids, ends[codes == len(parts) - 1]
 
 
 @functools.cache
@@ -101,12 +118,13 @@ def boundaries(ids: np.ndarray, ends: np.ndarray, bits: int = 10, window: int =
     A chunk ends where a rolling hash of the last ``window`` ids has ``bits`` zero bits (never in the first ids of a
     text, so that where a text stands doesn't matter), after ``longest`` ids at most, and at the end of its text.
     """
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    rolling = mixed.copy()
-    for k in range(1, min(window, len(ids))):
-        rolling[k:] += mixed[:-k] << np.uint64(k)
+    every = (np.arange(LIMIT, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    every ^= every >> np.uint64(29)
+    rolling = (every * np.uint64(0xBF58476D1CE4E5B9))[ids]
+    reach = 1  # the sum over k < reach of the mixed id k places before, shifted by k
+    while reach < window:
+        rolling[reach:] += rolling[:-reach] << np.uint64(reach)
+        reach *= 2
     cut_at = (rolling >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0
     starts = np.concatenate([[0], ends[:-1]])
     for k in range(window - 1):
@@ -180,10 +198,8 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                own = [x + tail for x in encoder.encode(part.column(1).to_pylist())]
-                data = b"".join(own)
-                last = np.cumsum([len(x) for x in own]) // 2
-                ends = boundaries(np.frombuffer(data, WIDTH), last)
+                flow, last = encoder.encode(part.column(1), tail)
+                data, ends = flow.tobytes(), boundaries(flow, last)
                 starts = np.concatenate([[0], ends[:-1]])
                 of = np.searchsorted(last, starts, side="right")
                 pos = np.arange(len(ends)) - np.searchsorted(of, of)
