@@ -36,6 +36,7 @@ def statistics(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lower, upper, digits = int(c[97:123].sum()), int(c[65:91].sum()), int(c[48:58].sum())
         marks = int(c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum())
         more[i] = lower, upper, digits, marks, len(np.unique(ids)), int(c[192:].sum()), len(lines)
+    codes.default_factory = None  # it holds the table itself, which would stay until the next full garbage collection
     base[:, 4] = repeated_words(words)
     count = np.maximum(base[:, 0], 1)
     lower, upper, digits, marks, distinct, wide, lines = more.T
