@@ -206,7 +206,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, what: str) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, ent long{tail}")
 
 
-def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", cap: int = 256, store_buckets: bool = True) -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", cap: int = 256) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: documents linked by n-gram Jaccard similarity, in connected components.
 
     Texts are lower-cased (A-Z) and split at ``[\\x20\\x09-\\x0D]``; a document's set is its distinct n-grams of
@@ -218,8 +218,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     of the prefix tree where they meet (see :func:`size_classes`). The sets of a shard are walked as a trie with
     pruning by remaining length (:func:`trie_links`), and give no more links than connect them. Shards of more than
     ``cap`` sets are dealt to several lists, first with the shard's lead in each, then all sets that are not yet
-    connected to it against all others, so no pair goes unseen. ``store_buckets`` writes the segments' keys to the
-    shared folder, which saves a second pass over the texts and takes 8 bytes for each.
+    connected to it against all others, so no pair goes unseen. Segments' keys are written to the shared folder, 8 bytes
+    for each, as the shuffle that follows is read twice and could not be shared by two passes over the texts.
 
     Null and empty texts have no set, link with nothing and are components of their own. Repeated rows share a
     component; ties go to the smallest id; a null id takes its component's smallest id. An empty table gives an empty
@@ -227,8 +227,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     n^2 / 2^65.
     """
     src = texts(docs, id_col, text_col)
-    own = cut(shingle_sets(src, width, num, den, "buckets" if store_buckets else ""), "sets")
-    sig = (own if store_buckets else shingle_sets(src, width, num, den, "buckets")).select(F.explode("buckets").alias("bucket"), "ent")
+    own = cut(shingle_sets(src, width, num, den, "buckets"), "sets")
+    sig = own.select(F.explode("buckets").alias("bucket"), "ent")
     keepers = own.where("ent IS NOT NULL").groupBy("ent").agg(F.min("doc_id").alias("keeper"))
 
     def verify(lists: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ def test_ngram_join(spark, docs, none, width, num, cap):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df, width, num, 100, cap=cap).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts, width, num, 100)
     if cap == 256:
-        assert ngram_join.ngram_components(none, width, num, 100, store_buckets=False).count() == 0
+        assert ngram_join.ngram_components(none, width, num, 100).count() == 0
         left = {r.doc_id for r in ngram_join.keep_one_of_each(df, width=width, num=num, den=100).collect()}
         assert left == {i for i, (_, c) in got.items() if c == i}
 
