@@ -62,9 +62,14 @@ def truncate_bytes(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(raw, F.lit(1), F.greatest(cut, F.lit(0))), "UTF-8"))
 
 
-def valid_key(column: Column) -> Column:
-    """Keys of topics and schedules: lower-case words of letters and digits with ``-``, ``_`` or ``.`` between, at most 191 bytes."""
-    return F.coalesce(column.rlike(r"\A[a-z0-9]+([._-][a-z0-9]+)*\z") & (F.octet_length(column) <= 191), F.lit(False))
+def valid_topic_key(column: Column) -> Column:
+    """A lower-case letter or digit, then these, ``.``, ``_`` and ``-`` in any order."""
+    return F.coalesce(column.rlike(r"\A[a-z0-9][a-z0-9._-]*\z"), F.lit(False))
+
+
+def valid_schedule_key(column: Column, most_bytes: int = 191) -> Column:
+    """Lower-case letters and digits with single ``_`` between, of bounded length."""
+    return F.coalesce(column.rlike(r"\A[a-z0-9]+(_[a-z0-9]+)*\z") & (F.octet_length(column) <= most_bytes), F.lit(False))
 
 
 def tie_breaker(rank: int, *parts: str) -> Column:
@@ -90,22 +95,37 @@ def jitter_percentile(seed: Column) -> Column:
     return (byte(3) * 256 + byte(1)) % 101
 
 
+#: The longest delay of a retry policy in seconds; a hundred per cent more still fits into milliseconds.
+MOST_DELAY = I64_MAX // 2_000
+
+
+def retry_policy(policy_json: Column) -> Column:
+    """A stored policy as ``fixed, initial, most, percent`` in seconds; null where it is unreadable or out of bounds."""
+
+    def number(path):
+        text = F.get_json_object(policy_json, f"$.backoff.{path}")
+        return F.when(text.rlike(r"\A[0-9]{1,20}\z"), text.cast("decimal(20,0)"))
+
+    fixed, initial, most, percent = number("Fixed.delay_secs"), number("Exponential.initial_secs"), number("Exponential.max_secs"), number("Exponential.jitter_percent")
+    valid = fixed.between(1, MOST_DELAY) | ((initial >= 1) & (most >= initial) & (most <= MOST_DELAY) & (percent <= 100))
+    return F.when(valid, F.struct(fixed.cast("long").alias("fixed"), initial.cast("long").alias("initial"), most.cast("long").alias("most"), percent.cast("long").alias("percent")))
+
+
 def backoff(policy_json: Column, attempt: Column, seed: Column) -> Column:
-    """Milliseconds to wait after failed attempt ``attempt`` (from 1).
+    """Milliseconds to wait after failed attempt ``attempt`` (from 1); null if the policy is not valid.
 
-    ``Fixed`` waits ``delay_millis``. ``Exponential`` waits the initial delay doubled for each further attempt, at most
-    ``max_delay_millis``, give or take ``jitter_percent``: at percentile p of the seed the delay changes by
-    delay * percent * (2p - 100) / 10 000, rounded toward zero. Wide decimals keep all products exact.
+    ``Fixed`` waits ``delay_secs``. ``Exponential`` waits ``initial_secs`` doubled for each further attempt, at most
+    ``max_secs``, give or take ``jitter_percent``: of that share of the delay in whole seconds, a seed at percentile p
+    adds 2p - 100 hundredths, rounded toward zero. All products are of whole numbers that fit.
     """
-    wide = "decimal(38,0)"
-    get = lambda path: F.get_json_object(policy_json, path).cast(wide)
-    first, most = get("$.Exponential.initial_delay_millis"), get("$.Exponential.max_delay_millis")
-    doubled = F.when(attempt > 60, most).otherwise(first * F.pow(F.lit(2), F.greatest(attempt - 1, F.lit(0))).cast("decimal(20,0)"))
-    delay = F.least(doubled, most).cast(wide)
-    percent = F.coalesce(F.get_json_object(policy_json, "$.Exponential.jitter_percent").cast("long"), F.lit(0))
-    swing = (F.least(doubled, most).cast("long") * percent * (2 * jitter_percentile(seed) - 100)).cast("long")
-    jittered = delay.cast("long") + F.expr("1L") * (F.signum(swing).cast("long") * F.floor(F.abs(swing) / F.lit(10_000)))
-    return F.coalesce(get("$.Fixed.delay_millis").cast("long"), F.greatest(jittered, F.lit(0))).cast("long")
+    policy = retry_policy(policy_json)
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+    # 2^62 is beyond any bound already.
+    times = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(62)).cast("int"))
+    base = F.least(policy["initial"].cast("decimal(19,0)") * times.cast("decimal(19,0)"), policy["most"].cast("decimal(38,0)")).cast("long")
+    spread = div(base * policy["percent"], 100)
+    jittered = F.greatest(base + div(spread * (2 * jitter_percentile(seed) - 100), 100), F.lit(0))
+    return F.when(policy.isNotNull(), F.coalesce(policy["fixed"], jittered) * 1000)
 
 
 def fnv1a(data: bytes) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.exprs import stale_lease
 from ..sources.schemas import ACTIVITY_OPEN, DEAD_LETTER_WAITERS, SLOT_HOLDERS, TERMINAL
@@ -34,7 +34,7 @@ def readiness(wf: DataFrame, act: DataFrame, workflow_defs: DataFrame, activity_
 
 
 def health_alerts(wf: DataFrame, act: DataFrame, missing: DataFrame, now: int, stale_after: int, most: int = MAX_ALERTS) -> DataFrame:
-    """``alert, entity_id, name, version``: what is missing, and by id the first ``most`` of each other kind.
+    """``alert, entity_id, name, version``: of each kind the first ``most``, what is missing by name and version, the rest by id.
 
     Dead letters count here whatever became of their workflow; only a success in their chain clears them.
     """
@@ -44,6 +44,8 @@ def health_alerts(wf: DataFrame, act: DataFrame, missing: DataFrame, now: int, s
     def first(df, alert):
         return df.orderBy("id").limit(most).select(F.lit(alert).alias("alert"), F.col("id").alias("entity_id"), F.col("kind").alias("name"), "version")
 
+    order = W.partitionBy("missing").orderBy("name", "version")
+    missing = missing.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
     return (
         missing.select(F.concat(F.lit("missing_"), "missing").alias("alert"), F.lit(None).cast("long").alias("entity_id"), "name", "version")
         .unionByName(first(wf.where((F.col("status") == "failed") & (F.col("error_category") == "activation")), "activation_exhausted"))

@@ -17,17 +17,20 @@ def _closure(start: DataFrame, step: DataFrame, keep: str) -> DataFrame:
     """Follow ``step`` (``id, next``) from ``start`` (``origin, id, depth``) until nothing new is found; ``keep``: all or last.
 
     One join for each level, over the rows that got further: the work is what the chains hold, not their longest times all.
+    A row that comes back to where its origin has been before goes no further, so cycles end.
     """
-    done, front = [], start
+    done, front, seen = [], start, start.select("origin", "id")
     while True:
         if keep == "all":
             done.append(front)
         more = front.join(step, "id").select("origin", F.col("next").alias("id"), (F.col("depth") + 1).alias("depth"))
+        more = more.join(seen, ["origin", "id"], "left_anti")
         if keep == "last":
             done.append(front.join(step.select("id").distinct(), "id", "left_anti").select("origin", "id", "depth"))
         front = more.checkpoint() if front.sparkSession.conf.get("spark.checkpoint.dir", None) else more
         if front.isEmpty():
             break
+        seen = seen.unionByName(front.select("origin", "id"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -12,13 +12,25 @@ from ..sources.schemas import TERMINAL
 CHUNK = 10_000
 
 
-def gap_end_utc(local: Column, zone: str, most_seconds: int = 86_400) -> Column:
-    """Epoch milliseconds of a local timestamp: where it doesn't exist, of the first later second that does."""
-    valid = lambda t: F.from_utc_timestamp(F.to_utc_timestamp(t, zone), zone) == t
-    # Gaps end on a whole minute in all current rules; the seconds are only looked at inside a gap.
-    later = F.sequence(local, local + F.make_dt_interval(secs=F.lit(most_seconds)), F.expr("interval 1 second"))
-    end = F.get(F.filter(later, valid), F.lit(0))
-    return F.unix_millis(F.to_utc_timestamp(F.when(valid(local), local).otherwise(end), zone))
+def gap_end_utc(local: Column, zone: str) -> Column:
+    """Epoch milliseconds of a local timestamp: where it doesn't exist, of the first later second that does.
+
+    A time inside a gap is read with the offset before it, which leads to a moment behind the gap; what the clock shows
+    then is as much ahead of the wanted time as the gap is long, and the gap's end lies at that moment less what has
+    passed of the gap. So one day before and after tell the offsets, and no seconds are walked.
+    """
+    at = F.to_utc_timestamp(local, zone)
+    valid = F.from_utc_timestamp(at, zone) == local
+    day = F.expr("interval 1 day")
+    seen = lambda t: F.unix_millis(F.from_utc_timestamp(t, zone)) - F.unix_millis(t)  # noqa: E731  the offset at a moment
+    before, after = seen(at - day), seen(at + day)
+    # In local time the gap is [start, start + after - before); the change is at the moment start - before.
+    lo, hi = F.unix_millis(local) - after, F.unix_millis(local) - before
+    step = F.lit(1000)
+    moments = F.filter(F.sequence(lo, hi, F.lit(60_000)), lambda m: seen(F.timestamp_millis(m)) == after)
+    first = F.coalesce(F.get(moments, F.lit(0)), hi)
+    seconds = F.filter(F.sequence(F.greatest(lo, first - 60_000), first, step), lambda m: seen(F.timestamp_millis(m)) == after)
+    return F.when(valid, F.unix_millis(at)).otherwise(F.get(seconds, F.lit(0)))
 
 
 def due_occurrences(schedules: DataFrame, now: int, chunk: int = CHUNK) -> DataFrame:
@@ -107,3 +119,9 @@ def run_now_plan(runs: DataFrame, now: int) -> DataFrame:
 
 def materialized_floor(runs: DataFrame) -> DataFrame:
     return runs.where(~F.col("local_occurrence").startswith("manual:")).groupBy("schedule_key").agg(F.max("local_occurrence").alias("floor"))
+
+
+def pause_plan(states: DataFrame) -> DataFrame:
+    """``schedule_key, action, next_status``: what an operator can do now; an active schedule pauses, a paused one resumes, never the other way."""
+    paused = F.col("paused_at").isNotNull()
+    return states.select("schedule_key", F.when(paused, "resume").otherwise("pause").alias("action"), F.when(paused, "active").otherwise("paused").alias("next_status"))

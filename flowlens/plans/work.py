@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.exprs import backoff, expired_lease, live_lease
+from ..functions.exprs import backoff, correction_key, expired_lease, live_lease
 from ..operators.metrics import awaited
-from ..sources.schemas import SLOT_HOLDERS, START_RECOVERABLE
+from ..sources.schemas import SLOT_HOLDERS, START_RECOVERABLE, TERMINAL
 
 SCAN = 32
 FAIR_CONTINUES, FAIR_DELAY = 16, 100
@@ -17,9 +17,13 @@ def registered(df: DataFrame, defs: DataFrame) -> DataFrame:
     return df.join(defs.select("kind", "version").distinct(), ["kind", "version"], "left_semi")
 
 
-def in_flight(act: DataFrame, now: int) -> DataFrame:
-    """``topic, in_flight``: live slot holders."""
-    return act.where(F.col("status").isin(SLOT_HOLDERS) & live_lease(now)).groupBy("topic").agg(F.count(F.lit(1)).alias("in_flight"))
+def in_flight(act: DataFrame, now: int, unsettled: DataFrame | None = None) -> DataFrame:
+    """``topic, in_flight``: slot holders with a live lease, and expired ones of ``unsettled`` (``id``), which a heartbeat may still revive."""
+    holders = act.where(F.col("status").isin(SLOT_HOLDERS))
+    live = holders.where(live_lease(now))
+    if unsettled is not None:
+        live = live.unionByName(holders.where(expired_lease(now)).join(unsettled.select("id").distinct(), "id", "left_semi"))
+    return live.groupBy("topic").agg(F.count(F.lit(1)).alias("in_flight"))
 
 
 def claim_plan(act: DataFrame, wf: DataFrame, caps: DataFrame, defs: DataFrame, local: DataFrame, now: int, batch: int, scan: int = SCAN) -> DataFrame:
@@ -61,7 +65,8 @@ def reconcile_plan(act: DataFrame, wf: DataFrame, now: int) -> DataFrame:
     left = F.col("attempt_count") < F.col("max_attempts")
     to = F.when(F.col("status") == "cancelling", "cancelled").when(left, "pending").otherwise("dead_lettered")
     seed = F.concat(F.lit("activity:"), F.col("id").cast("string"), F.lit(":lease_recovery:"), F.col("attempt_count").cast("string"))
-    again = F.lit(now) + backoff(F.col("retry_policy_json"), F.col("attempt_count"), seed)
+    # Without a valid policy the activity is due at once; the next claim then finds it out of bounds.
+    again = F.lit(now) + F.coalesce(backoff(F.col("retry_policy_json"), F.col("attempt_count"), seed), F.lit(0))
     return j.select(
         F.col("id").alias("activity_id"), F.col("status").alias("from_status"), to.alias("to_status"), F.lit("lease_expired").alias("reason"),
         F.when(to == "pending", again).alias("available_at"), ((to == "dead_lettered") & F.col("__wf").isNotNull()).alias("blocks_workflow"),
@@ -95,14 +100,14 @@ def finish_plan(outcomes: DataFrame, act: DataFrame, now: int) -> DataFrame:
     return j.select("activity_id", to.alias("to_status"), F.when(to == "pending", F.lit(now) + backoff(F.col("retry_policy_json"), F.col("attempt_count"), seed)).alias("available_at"))
 
 
-def activation_failure_plan(wf: DataFrame, failed: DataFrame, now: int, cap: int = 8, first_delay: int = 1000, most_delay: int = 60_000) -> DataFrame:
-    """Workflows (``failed``: ``id``) whose step failed: one attempt more, and failed for good at the smaller of the caps."""
+def activation_failure_plan(wf: DataFrame, failed: DataFrame, now: int, cap: int = 8, first_delay: int = 1, most_delay: int = 60, jitter: int = 20) -> DataFrame:
+    """Workflows (``failed``: ``id``) whose step failed: one attempt more, and failed for good at the smaller of the caps. Delays in seconds."""
     j = wf.join(failed.select(F.col("id").alias("__f")), F.col("id") == F.col("__f"), "left_semi")
     n = F.col("activation_attempts") + 1
-    policy = F.lit(f'{{"Exponential":{{"initial_delay_millis":{first_delay},"max_delay_millis":{most_delay},"jitter_percent":0}}}}')
+    policy = F.lit(f'{{"backoff":{{"Exponential":{{"initial_secs":{first_delay},"max_secs":{most_delay},"jitter_percent":{jitter}}}}}}}')
     over = n >= F.least("max_activation_attempts", F.lit(cap))
     seed = F.concat(F.lit("workflow:"), F.col("id").cast("string"), F.lit(":activation:"), n.cast("string"))
-    return j.select(F.col("id").alias("workflow_id"), n.alias("attempts"), F.when(over, "failed").otherwise("ready").alias("to_status"), F.when(~over, F.lit(now) + backoff(policy, n, seed)).alias("available_at"))
+    return j.select(F.col("id").alias("workflow_id"), n.alias("attempts"), F.when(over, "failed").otherwise("ready").alias("to_status"), (F.lit(now) + backoff(policy, n, seed)).alias("available_at"))
 
 
 def continuation_delay() -> F.Column:
@@ -133,9 +138,49 @@ def sequence_floor(ev: DataFrame) -> DataFrame:
     return ev.groupBy("workflow_id").agg((F.max("sequence") + 1).alias("next_sequence"))
 
 
-def resume_plan(wf: DataFrame, act: DataFrame) -> DataFrame:
-    """``workflow_id, to_status`` of paused workflows, by what they wait for: a dead letter blocks again, an ended target makes ready."""
-    j = wf.where("status = 'paused'").join(act.select(F.col("id").alias("__act"), F.col("status").alias("__s")), (F.col("wait_kind") == "activity") & (F.col("wait_reference_id") == F.col("__act")), "left")
-    held = F.when(F.col("__s") == "dead_lettered", "blocked").when(F.col("__s").isin("pending", *SLOT_HOLDERS), "waiting_activity").otherwise("ready")
-    to = F.when(F.col("wait_kind") == "activity", held).when(F.col("wait_kind") == "child", "waiting_child").when(F.col("wait_kind") == "timer", "sleeping").when(F.col("wait_kind") == "approval", "waiting_approval").otherwise("ready")
-    return j.select(F.col("id").alias("workflow_id"), to.alias("to_status"))
+def resume_plan(wf: DataFrame, act: DataFrame, appr: DataFrame) -> DataFrame:
+    """``workflow_id, to_status, refusal`` of paused workflows, by what they wait for.
+
+    An open activity or child and a pending approval are waited for again, a dead letter blocks again, a success or a
+    settled approval makes ready. A cancelled activity and an ended child, whose outcome never arrived, and targets
+    that don't exist refuse the resume.
+    """
+    paused = wf.where("status = 'paused'").select("id", "wait_kind", "wait_reference_id")
+
+    def target(df, kind):
+        return df.select(F.lit(kind).alias("wait_kind"), F.col("id").alias("wait_reference_id"), F.col("status").alias("target"))
+
+    targets = target(act, "activity").unionByName(target(wf, "child")).unionByName(target(appr, "approval"))
+    j = paused.join(targets, ["wait_kind", "wait_reference_id"], "left")
+    kind, t = F.col("wait_kind"), F.col("target")
+    to = (
+        F.when(kind.isNull(), "ready").when(kind == "timer", "sleeping")
+        .when(kind == "activity", F.when(t.isin("pending", *SLOT_HOLDERS), "waiting_activity").when(t == "dead_lettered", "blocked").when(t == "succeeded", "ready"))
+        .when(kind == "child", F.when(~t.isin(TERMINAL), "waiting_child")).when(kind == "approval", F.when(t == "pending", "waiting_approval").when(t.isNotNull(), "ready"))
+    )
+    refusal = F.when(to.isNull(), F.when(t.isNull(), F.concat(F.lit("missing_"), kind)).otherwise(F.concat(t, F.lit("_"), kind)))
+    return j.select(F.col("id").alias("workflow_id"), to.alias("to_status"), refusal.alias("refusal"))
+
+
+def retry_plan(act: DataFrame, wf: DataFrame) -> DataFrame:
+    """``activity_id, workflow_id, root_id, replacement_number, correction_key``: dead letters that an operator may retry.
+
+    Only the one that a blocked workflow waits for. Its replacement counts on from it and shares its root; a retry with
+    another payload runs under the correction's key.
+    """
+    held = wf.where("status = 'blocked' AND wait_kind = 'activity'").select(F.col("id").alias("workflow_id"), F.col("wait_reference_id").alias("id"))
+    j = act.where("status = 'dead_lettered'").join(held, ["workflow_id", "id"])
+    root, number = F.coalesce("root_activity_id", "id"), F.col("replacement_number") + 1
+    return j.select(F.col("id").alias("activity_id"), "workflow_id", root.alias("root_id"), number.alias("replacement_number"), correction_key(root, number).alias("correction_key"))
+
+
+def approval_plan(appr: DataFrame, wf: DataFrame, now: int) -> DataFrame:
+    """``approval_id, workflow_id, decision``: whether an operator's decision on each approval would be taken, or why not."""
+    flows = wf.select(F.col("id").alias("workflow_id"), F.col("kind").alias("__kind"), F.col("version").alias("__version"), F.col("status").alias("__status"), "wait_kind", "wait_reference_id")
+    j = appr.join(flows, "workflow_id", "left")
+    fits = F.col("__status").isin("waiting_approval", "paused") & (F.col("wait_kind") == "approval") & (F.col("wait_reference_id") == F.col("id")) & (F.col("kind") == F.col("__kind")) & (F.col("version") == F.col("__version"))
+    decision = (
+        F.when(F.col("status") != "pending", F.concat(F.lit("already_"), F.col("status"))).when(F.col("expires_at") <= now, "expired")
+        .when(F.coalesce(fits, F.lit(False)), "resolve").otherwise("no_longer_matches")
+    )
+    return j.select(F.col("id").alias("approval_id"), "workflow_id", decision.alias("decision"))

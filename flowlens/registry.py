@@ -258,7 +258,7 @@ a1 AS (SELECT 'activation_exhausted' AS alert, id AS entity_id, kind AS name, ve
 a2 AS (SELECT 'activity_dead_lettered', id, kind, version FROM activity WHERE status = 'dead_lettered' AND coalesce(root_activity_id, id) NOT IN ({RESOLVED}) ORDER BY id LIMIT 25),
 a3 AS (SELECT 'stale_workflow', id, kind, version FROM workflow WHERE status = 'running' AND (lease_expires_at <= :stale OR lease_expires_at IS NULL) ORDER BY id LIMIT 25),
 a4 AS (SELECT 'stale_activity', id, kind, version FROM activity WHERE status IN ('running', 'cancelling') AND (lease_expires_at <= :stale OR lease_expires_at IS NULL) ORDER BY id LIMIT 25)
-SELECT 'missing_' || missing AS alert, NULL::BIGINT AS entity_id, name, version FROM missing UNION ALL FROM a1 UNION ALL FROM a2 UNION ALL FROM a3 UNION ALL FROM a4
+SELECT 'missing_' || missing AS alert, NULL::BIGINT AS entity_id, name, version FROM (SELECT *, row_number() OVER (PARTITION BY missing ORDER BY name, version) AS nth FROM missing) m WHERE nth <= 25 UNION ALL FROM a1 UNION ALL FROM a2 UNION ALL FROM a3 UNION ALL FROM a4
 """)
 def health_alerts(s):
     return health.health_alerts(s("workflow"), s("activity"), missing(s), s.now, STALE)
@@ -328,18 +328,22 @@ def recover_plan(s):
     return work.recover_workflows(s("workflow"), s.now)
 
 
-DIGEST = "sha256('activity:' || a.id || ':lease_recovery:' || a.attempt_count)"
-PERCENTILE = f"((('0x' || substr({DIGEST}, 3, 2))::INT * 256 + ('0x' || substr({DIGEST}, 1, 2))::INT) % 101)"
+def delay_sql(seed: str, attempt: str) -> str:
+    """Milliseconds of the stored policy: 2 s fixed, or 40 s doubled up to 300 s with 20 per cent of jitter; null for a fixed delay of nothing."""
+    pct = f"((('0x' || substr(sha256({seed}), 3, 2))::INT * 256 + ('0x' || substr(sha256({seed}), 1, 2))::INT) % 101)"
+    base = f"least(40 * (1 << greatest({attempt} - 1, 0)), 300)"
+    x = f"(({base} * 20 // 100) * (2 * {pct} - 100))"
+    return f"(CASE WHEN retry_policy_json LIKE '%\"delay_secs\":0%' THEN NULL WHEN retry_policy_json LIKE '%Fixed%' THEN 2000 ELSE 1000 * ({base} + sign({x}) * (abs({x}) // 100)) END)"
 
 
 @query(f"""
-WITH x AS (
-  SELECT a.*, w.id AS wid, least(500 * (1 << greatest(a.attempt_count - 1, 0)), 60000) AS base, {PERCENTILE} AS pct
+WITH y AS (
+  SELECT a.*, w.id AS wid, CASE WHEN a.status = 'cancelling' THEN 'cancelled' WHEN attempt_count < max_attempts THEN 'pending' ELSE 'dead_lettered' END AS to_status
   FROM activity a LEFT JOIN workflow w ON w.id = a.workflow_id AND w.wait_reference_id = a.id AND w.status = 'waiting_activity'
   WHERE a.status IN ('running', 'cancelling') AND (a.lease_expires_at <= :now OR a.lease_expires_at IS NULL)
-), y AS (SELECT *, CASE WHEN status = 'cancelling' THEN 'cancelled' WHEN attempt_count < max_attempts THEN 'pending' ELSE 'dead_lettered' END AS to_status, base * 20 * (2 * pct - 100) AS swing FROM x)
+)
 SELECT id AS activity_id, status AS from_status, to_status, 'lease_expired' AS reason,
-       CASE WHEN to_status = 'pending' THEN :now + CASE WHEN retry_policy_json LIKE '%Fixed%' THEN 2000 ELSE base + sign(swing) * (abs(swing) // 10000) END END::BIGINT AS available_at,
+       CASE WHEN to_status = 'pending' THEN :now + coalesce({delay_sql("'activity:' || id || ':lease_recovery:' || attempt_count", "attempt_count")}, 0) END::BIGINT AS available_at,
        to_status = 'dead_lettered' AND wid IS NOT NULL AS blocks_workflow FROM y
 """)
 def reconcile_plan(s):
@@ -369,13 +373,79 @@ def event_sequence_floor(s):
     return work.sequence_floor(s("workflow_event"))
 
 
+OUTCOMES = "CASE id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'retryable' ELSE 'permanent' END"
+
+
+@query(f"""
+WITH o AS (SELECT *, {OUTCOMES} AS outcome FROM activity WHERE status IN ('running', 'cancelling')),
+x AS (SELECT *, CASE WHEN status = 'cancelling' THEN 'cancelled' WHEN outcome = 'succeeded' THEN 'succeeded' WHEN outcome = 'retryable' AND attempt_count < max_attempts THEN 'pending' ELSE 'dead_lettered' END AS to_status FROM o)
+SELECT id AS activity_id, to_status, CASE WHEN to_status = 'pending' THEN :now + {delay_sql("'activity:' || id || ':retry:' || attempt_count", "attempt_count")} END::BIGINT AS available_at FROM x
+""")
+def finish_plan(s):
+    a = s("activity")
+    return work.finish_plan(a.where(F.col("status").isin("running", "cancelling")).select(F.col("id").alias("activity_id"), F.expr(OUTCOMES).alias("outcome")), a, s.now)
+
+
+@query("""
+WITH x AS (SELECT id, activation_attempts + 1 AS n, max_activation_attempts AS most, sha256('workflow:' || id || ':activation:' || (activation_attempts + 1)) AS h FROM workflow WHERE status IN ('running', 'failed')),
+y AS (SELECT *, least(1 << (n - 1), 60) AS base, 2 * ((('0x' || substr(h, 3, 2))::INT * 256 + ('0x' || substr(h, 1, 2))::INT) % 101) - 100 AS sway FROM x)
+SELECT id AS workflow_id, n AS attempts, CASE WHEN n >= least(most, 8) THEN 'failed' ELSE 'ready' END AS to_status,
+       (:now + 1000 * (base + sign((base * 20 // 100) * sway) * (abs((base * 20 // 100) * sway) // 100)))::BIGINT AS available_at FROM y
+""")
+def activation_failure_plan(s):
+    wf = s("workflow")
+    return work.activation_failure_plan(wf, wf.where("status IN ('running', 'failed')").select("id"), s.now)
+
+
+@query("""
+SELECT a.id AS activity_id, w.id AS workflow_id, coalesce(a.root_activity_id, a.id) AS root_id, a.replacement_number + 1 AS replacement_number,
+       'durable:activity:' || coalesce(a.root_activity_id, a.id) || ':correction:' || (a.replacement_number + 1) AS correction_key
+FROM workflow w JOIN activity a ON a.id = w.wait_reference_id AND a.workflow_id = w.id WHERE w.status = 'blocked' AND w.wait_kind = 'activity' AND a.status = 'dead_lettered'
+""")
+def retry_plan(s):
+    return work.retry_plan(s("activity"), s("workflow"))
+
+
 @query("""
-SELECT w.id AS workflow_id, CASE wait_kind WHEN 'activity' THEN CASE WHEN a.status = 'dead_lettered' THEN 'blocked' WHEN a.status IN ('pending', 'running', 'cancelling') THEN 'waiting_activity' ELSE 'ready' END
-  WHEN 'child' THEN 'waiting_child' WHEN 'timer' THEN 'sleeping' WHEN 'approval' THEN 'waiting_approval' ELSE 'ready' END AS to_status
-FROM workflow w LEFT JOIN activity a ON wait_kind = 'activity' AND a.id = wait_reference_id WHERE w.status = 'paused'
+SELECT a.id AS approval_id, a.workflow_id, CASE WHEN a.status <> 'pending' THEN 'already_' || a.status WHEN a.expires_at <= :now THEN 'expired' WHEN w.id IS NOT NULL THEN 'resolve' ELSE 'no_longer_matches' END AS decision
+FROM approval a LEFT JOIN workflow w ON w.id = a.workflow_id AND w.status IN ('waiting_approval', 'paused') AND w.wait_kind = 'approval' AND w.wait_reference_id = a.id AND w.kind = a.kind AND w.version = a.version
 """)
+def approval_plan(s):
+    return work.approval_plan(s("approval"), s("workflow"), s.now)
+
+
+@query("SELECT schedule_key, CASE WHEN paused_at IS NULL THEN 'pause' ELSE 'resume' END AS action, CASE WHEN paused_at IS NULL THEN 'paused' ELSE 'active' END AS next_status FROM schedule_state")
+def schedule_pause_plan(s):
+    return schedules.pause_plan(s("schedule_state"))
+
+
+@query(f"""
+WITH going AS (SELECT DISTINCT q.schedule_key FROM schedule_run q JOIN workflow w ON w.schedule_run_id = q.id WHERE w.status NOT IN {TERMINAL}),
+q AS (SELECT schedule_key, id, row_number() OVER (PARTITION BY schedule_key ORDER BY scheduled_for, id) AS nth FROM schedule_run WHERE status = 'queued')
+SELECT schedule_key, id AS run_id FROM q WHERE nth = 1 AND schedule_key NOT IN (SELECT schedule_key FROM going)
+""")
+def promotions(s):
+    return schedules.promotions(s("schedule_run"), s("workflow"))
+
+
+@query("""
+SELECT id, error_category IS NOT NULL AS present, coalesce(strlen(error_category), 0) AS bytes, CASE WHEN error_category LIKE 'é%' THEN 'éé' ELSE substr(error_category, 1, 5) END AS cut_text,
+       regexp_full_match(kind, '[a-z0-9][a-z0-9._-]*') AS topic_key, regexp_full_match(kind || '_', '[a-z0-9]+(_[a-z0-9]+)*') AS schedule_key FROM workflow
+""")
+def text_functions(s):
+    summary = X.json_summary("error_category")
+    return s("workflow").select("id", summary["present"].alias("present"), summary["bytes"].alias("bytes"), X.truncate_bytes(F.col("error_category"), 5).alias("cut_text"), X.valid_topic_key(F.col("kind")).alias("topic_key"), X.valid_schedule_key(F.concat("kind", F.lit("_"))).alias("schedule_key"))
+
+
+@query(f"""
+WITH t AS (SELECT 'activity' AS wait_kind, id, status FROM activity UNION ALL SELECT 'child', id, status FROM workflow UNION ALL SELECT 'approval', id, status FROM approval),
+x AS (SELECT w.id, w.wait_kind AS k, t.status AS s FROM workflow w LEFT JOIN t ON t.wait_kind = w.wait_kind AND t.id = w.wait_reference_id WHERE w.status = 'paused'),
+y AS (SELECT *, CASE WHEN k IS NULL THEN 'ready' WHEN k = 'timer' THEN 'sleeping' WHEN k = 'activity' AND s IN ('pending', 'running', 'cancelling') THEN 'waiting_activity' WHEN k = 'activity' AND s = 'dead_lettered' THEN 'blocked'
+  WHEN k = 'activity' AND s = 'succeeded' THEN 'ready' WHEN k = 'child' AND s NOT IN {TERMINAL} THEN 'waiting_child' WHEN k = 'approval' AND s = 'pending' THEN 'waiting_approval' WHEN k = 'approval' AND s IS NOT NULL THEN 'ready' END AS to_status FROM x)
+SELECT id AS workflow_id, to_status, CASE WHEN to_status IS NULL THEN coalesce(s, 'missing') || '_' || k END AS refusal FROM y
+""")
 def resume_plan(s):
-    return work.resume_plan(s("workflow"), s("activity"))
+    return work.resume_plan(s("workflow"), s("activity"), s("approval"))
 
 
 @query("SELECT id, kind, version, status FROM workflow w WHERE status IN ('succeeded', 'failed', 'cancelled', 'paused', 'blocked') AND NOT EXISTS (SELECT 1 FROM workflow n WHERE n.restarted_from_workflow_id = w.id)")
@@ -427,7 +497,12 @@ def misfire_report(s):
     return schedules.materialization_report(schedules.classify_misfires(due, _policies(s), s.now)).drop("queued")
 
 
-@query("SELECT workflow_id, count(*) AS applied, NULL::VARCHAR AS failure FROM workflow_event WHERE delivery_sequence IS NOT NULL GROUP BY 1")
+@query("""
+WITH e AS (SELECT workflow_id, delivery_sequence AS d, CAST(coalesce(json_extract_string(metadata_json, '$.data.command_sequence'), '0') AS INT) AS c, row_number() OVER (PARTITION BY workflow_id ORDER BY delivery_sequence) AS n
+  FROM workflow_event WHERE delivery_sequence IS NOT NULL),
+m AS (SELECT *, CASE WHEN d <> n THEN 'delivery_order' WHEN c > 0 AND NOT EXISTS (SELECT 1 FROM activity a WHERE a.workflow_id = e.workflow_id AND a.command_sequence = c) THEN 'unknown_command' END AS wrong FROM e)
+SELECT workflow_id, coalesce(min(n) FILTER (wrong IS NOT NULL) - 1, count(*)) AS applied, arg_min(wrong, n) FILTER (wrong IS NOT NULL) AS failure FROM m GROUP BY 1
+""")
 def replay_log(s):
     return log.replay(s("workflow_event"), s("activity").select("workflow_id", "command_sequence", "kind"))
 
@@ -480,8 +555,9 @@ SELECT min(id) AS entity_id, local_occurrence AS detail FROM schedule_run GROUP
 SELECT max(q.id) AS entity_id, schedule_key AS detail FROM schedule_state st JOIN schedule_run q USING (schedule_key) WHERE local_occurrence NOT LIKE 'manual:%' GROUP BY schedule_key HAVING max(next_local_occurrence) <= max(local_occurrence)"""),
     "audit_i29": (lambda s: audits.queued_runs(s("schedule_run")), """
 SELECT min(id) AS entity_id, schedule_key AS detail FROM schedule_run WHERE status = 'queued' GROUP BY schedule_key HAVING count(*) > 1"""),
-    "audit_i35": (lambda s: audits.payload_limits(s("workflow"), limits=audits.LIMITS | {"state_json": 10}), """
-SELECT id AS entity_id, 'state_json' AS detail FROM workflow WHERE strlen(state_json) > 10"""),
+    "audit_i35": (lambda s: audits.payload_limits(s("workflow")), """
+SELECT id AS entity_id, unnest(list_filter([CASE WHEN strlen(input_json) > 262144 THEN 'input_json' END, CASE WHEN strlen(state_json) > 262144 THEN 'state_json' END, CASE WHEN strlen(result_json) > 65536 THEN 'result_json' END,
+  CASE WHEN strlen(error_category) > 64 THEN 'error_category' END], lambda x: x IS NOT NULL)) AS detail FROM workflow"""),
 }
 for _name, (_f, _sql) in AUDITS.items():
     _f.__name__ = _name

@@ -44,7 +44,8 @@ FROM (
   SELECT event_id + 1 AS id, w + 1 AS workflow_id, CASE WHEN s = 3 AND w % 5 = 1 THEN 2 ELSE s END AS command_sequence,
          CASE WHEN s = 3 AND w % 5 = 1 THEN 1 ELSE 0 END AS replacement_number, concat('activity_', event_type) AS kind, 1 + user_id % 2 AS version, event_type AS topic,
          concat('{{"k":', CAST(k AS {text}), '}}') AS payload_json,
-         CASE WHEN w % 3 = 0 THEN '{{"Fixed":{{"delay_millis":2000}}}}' ELSE '{{"Exponential":{{"initial_delay_millis":500,"max_delay_millis":60000,"jitter_percent":20}}}}' END AS retry_policy_json,
+         CASE WHEN w % 23 = 6 THEN '{{"backoff":{{"Fixed":{{"delay_secs":0}}}}}}' WHEN w % 3 = 0 THEN '{{"backoff":{{"Fixed":{{"delay_secs":2}}}}}}'
+              ELSE '{{"backoff":{{"Exponential":{{"initial_secs":40,"max_secs":300,"jitter_percent":20}}}}}}' END AS retry_policy_json,
          CASE WHEN s = 1 THEN 'succeeded'
               WHEN s = 2 THEN CASE WHEN w % 5 = 1 THEN 'dead_lettered' ELSE 'succeeded' END
               WHEN s = 3 AND w % 5 = 1 THEN CASE WHEN w % 10 = 1 THEN 'succeeded' ELSE 'dead_lettered' END
@@ -63,22 +64,27 @@ SELECT w + 1 AS id, concat('flow_', CAST(w % 4 AS {text})) AS kind, CAST(1 + w %
        CASE WHEN b = 0 THEN 'ready' WHEN b IN (1, 2) THEN 'running' WHEN b BETWEEN 3 AND 9 THEN 'waiting_activity' WHEN b = 10 THEN 'waiting_child' WHEN b = 11 THEN 'sleeping'
             WHEN b = 12 THEN 'waiting_approval' WHEN b IN (13, 14) THEN 'paused' WHEN b = 15 THEN 'blocked' WHEN b IN (16, 17) THEN 'succeeded' WHEN b = 18 THEN 'failed'
             ELSE 'cancelled' END AS status,
-       CASE WHEN b IN (16, 17) THEN '{{"ok":true}}' END AS result_json, CASE WHEN b = 18 THEN 'activation' END AS error_category,
+       CASE WHEN b IN (16, 17) THEN '{{"ok":true}}' END AS result_json, CASE WHEN b = 18 THEN 'activation' WHEN b = 19 AND r % 4 = 1 THEN repeat('é', 33) END AS error_category,
        CASE WHEN b = 18 THEN 'step failed' END AS error_message,
-       CASE WHEN b BETWEEN 3 AND 9 OR b IN (13, 15) THEN 'activity' WHEN b = 10 THEN 'child' WHEN b = 11 THEN 'timer' WHEN b IN (12, 14) THEN 'approval' END AS wait_kind,
-       CASE WHEN b BETWEEN 3 AND 9 OR b IN (13, 15) THEN 4 * w + 4 WHEN b = 10 THEN w + 2 WHEN b = 11 THEN 4 WHEN b IN (12, 14) THEN w + 1 END AS wait_reference_id,
-       CASE WHEN b = 11 THEN {now} - 60000 + 120000 * (w % 2) ELSE t - 2000 END AS available_at, CAST(CASE WHEN b = 18 THEN 8 ELSE w % 3 END AS INT) AS activation_attempts,
+       CASE WHEN b BETWEEN 3 AND 9 OR b IN (13, 15) THEN 'activity' WHEN b = 10 OR b = 14 AND r % 5 = 4 THEN 'child' WHEN b = 11 THEN 'timer' WHEN b IN (12, 14) THEN 'approval' END AS wait_kind,
+       CASE WHEN b = 3 AND r % 9 = 2 THEN NULL WHEN b = 4 AND r % 9 = 1 OR b = 13 AND r % 4 = 1 THEN 4 * w + 1 WHEN b = 13 AND r % 4 = 2 THEN 4 * w + 3 WHEN b = 13 AND r % 8 = 3 THEN 4 * w + 12
+            WHEN b BETWEEN 3 AND 9 OR b IN (13, 15) THEN 4 * w + 4 WHEN b = 10 AND r % 6 = 1 THEN w + 7 WHEN b = 10 THEN w + 2 WHEN b = 11 THEN 4
+            WHEN b = 14 AND r % 10 = 9 THEN w + 4 WHEN b = 14 AND r % 5 = 4 THEN w + 2 WHEN b IN (12, 14) THEN w + 1 END AS wait_reference_id,
+       CASE WHEN b = 11 THEN {now} - 60000 + 120000 * (r % 2) ELSE t - 2000 END AS available_at, CAST(CASE WHEN b = 18 THEN 8 ELSE w % 3 END AS INT) AS activation_attempts,
        CAST(8 AS INT) AS max_activation_attempts, CAST(w % 18 AS INT) AS consecutive_continuations, CASE WHEN b IN (1, 2) THEN 'runtime-1' END AS lease_owner,
        CASE WHEN b IN (1, 2) THEN concat('wf-token-', CAST(w AS {text})) END AS lease_token, CASE WHEN b = 1 THEN {now} + 10000 WHEN b = 2 THEN {now} - 900000 END AS lease_expires_at,
-       CASE WHEN b = 11 THEN concat('child:', CAST(w AS {text}), ':5') END AS deduplication_key, CAST(NULL AS BIGINT) AS schedule_run_id,
-       CASE WHEN b = 0 AND w >= 20 THEN w - 1 END AS root_workflow_id, CASE WHEN b = 0 AND w >= 20 THEN w - 1 END AS restarted_from_workflow_id,
+       CASE WHEN b = 11 THEN concat('child:', CAST(CASE WHEN r % 8 = 3 THEN w - 160 * (r {div} 8 % 2) ELSE w END AS {text}), ':5') END AS deduplication_key,
+       CASE WHEN b IN (1, 12, 17) AND r % 30 = 0 THEN w + 2 END AS schedule_run_id,
+       CASE WHEN b = 0 AND w >= 20 THEN w - 1 - 3 * (CASE WHEN r % 6 = 5 THEN 1 ELSE 0 END) END AS root_workflow_id,
+       CASE WHEN b = 0 AND w >= 20 THEN w - 1 - 3 * (CASE WHEN r % 6 = 5 THEN 1 ELSE 0 END) END AS restarted_from_workflow_id,
        CASE WHEN b = 11 THEN w END AS parent_workflow_id, CAST(CASE WHEN b = 11 THEN 5 END AS INT) AS parent_command_sequence, CAST(4 AS INT) AS command_sequence,
        CAST(2 AS INT) AS delivered_event_sequence, t - 2000 AS created_at, t AS updated_at, CASE WHEN b >= 16 THEN {now} END AS completed_at
-FROM (SELECT w, min(b) AS b, min(t) AS t FROM base GROUP BY w) g
+FROM (SELECT w, w {div} 20 AS r, min(b) AS b, min(t) AS t FROM base GROUP BY w) g
 """
 
 ATTEMPT = """
-SELECT id AS activity_id, CAST(i AS INT) AS attempt_number, lease_owner_or AS worker_id, concat('token-', CAST(id AS {text})) AS lease_token, created_at + 1000 * i AS started_at,
+SELECT id AS activity_id, CAST(i + CASE WHEN id % 89 = 0 THEN 1 ELSE 0 END AS INT) AS attempt_number, lease_owner_or AS worker_id,
+       concat(CASE WHEN id % 36 = 0 THEN 'lost-' ELSE 'token-' END, CAST(id AS {text})) AS lease_token, created_at + 1000 * i AS started_at,
        created_at + 1000 * i + 500 AS heartbeat_at, CASE WHEN open THEN NULL ELSE created_at + 1000 * i + 900 END AS finished_at,
        CASE WHEN open THEN NULL WHEN i < attempt_count THEN 'retryable_failure' WHEN status = 'succeeded' THEN 'succeeded' WHEN status = 'dead_lettered' THEN 'dead_lettered'
             WHEN status = 'cancelled' THEN 'operator_cancelled' ELSE 'retryable_failure' END AS outcome,
@@ -95,19 +101,19 @@ FROM (SELECT * FROM activity_attempt WHERE activity_id % 4 > 0) a {repeat_progre
 """
 
 APPROVAL = """
-SELECT w + 1 AS id, w + 1 AS workflow_id, CAST(4 AS INT) AS command_sequence, 'review' AS kind, CAST(1 AS INT) AS version, '{{"title":"Review"}}' AS prompt_metadata_json,
+SELECT w + 1 AS id, w + 1 AS workflow_id, CAST(4 AS INT) AS command_sequence, CASE WHEN r % 7 = 6 THEN 'review' ELSE concat('flow_', CAST(w % 4 AS {text})) END AS kind, CAST(1 + w % 2 AS INT) AS version, '{{"title":"Review"}}' AS prompt_metadata_json,
        '{{"type":"object"}}' AS validation_schema_json, CAST(1 AS INT) AS validation_version,
-       CASE WHEN b IN (12, 14) THEN 'pending' WHEN b = 16 THEN 'resolved' WHEN b = 17 THEN 'expired' ELSE 'cancelled' END AS status, t - 2000 + 3000 AS requested_at,
+       CASE WHEN b = 14 AND r % 5 = 1 THEN 'expired' WHEN b = 14 AND r % 5 = 2 OR b = 16 THEN 'resolved' WHEN b IN (12, 14) OR b = 19 AND r % 4 = 0 THEN 'pending' WHEN b = 17 THEN 'expired' ELSE 'cancelled' END AS status, t - 2000 + 3000 AS requested_at,
        CASE w % 3 WHEN 1 THEN {now} - 1 WHEN 2 THEN {now} + 60000 END AS expires_at, CASE WHEN b = 16 THEN '{{"approved":true}}' END AS decision_payload_json,
        CAST(CASE WHEN b = 16 THEN 7 END AS INT) AS decided_by, CAST(NULL AS {text}) AS operator_reason, CASE WHEN b IN (16, 17, 19) THEN {now} END AS resolved_at
-FROM (SELECT w, min(b) AS b, min(t) AS t FROM base GROUP BY w) g WHERE b IN (12, 14, 16, 17, 19)
+FROM (SELECT w, w {div} 20 AS r, min(b) AS b, min(t) AS t FROM base GROUP BY w) g WHERE b IN (12, 14, 16, 17, 19)
 """
 
 TOPIC_LOCK = "SELECT topic, CAST(2 AS INT) AS max_concurrency, CAST({now} AS BIGINT) AS updated_at FROM (VALUES ('purchase'), ('signup'), ('error'), ('click')) v(topic)"
 
 SCHEDULE_STATE = """
 SELECT concat('nation_', CAST(n_nationkey AS {text})) AS schedule_key, concat('fp-', CAST(n_nationkey % 3 AS {text})) AS definition_fingerprint, CAST(1 AS INT) AS definition_version,
-       '2024-01-31T00:00:00' AS next_local_occurrence, CAST({now} + 43200000 - 60000 * n_nationkey * 100 AS BIGINT) AS next_occurrence_at, CAST({now} - 43200000 AS BIGINT) AS last_materialized_at,
+       CASE WHEN n_nationkey % 7 = 3 THEN '1992-06-01T00:00:00' ELSE '2030-01-31T00:00:00' END AS next_local_occurrence, CAST({now} + 43200000 - 60000 * n_nationkey * 100 AS BIGINT) AS next_occurrence_at, CAST({now} - 43200000 AS BIGINT) AS last_materialized_at,
        CAST(CASE WHEN n_nationkey % 10 = 9 THEN {now} - 1000 END AS BIGINT) AS paused_at, CAST(CASE WHEN n_nationkey % 10 = 9 THEN 1 END AS INT) AS paused_by,
        CAST(NULL AS {text}) AS pause_reason, CAST({now} - 86400000 AS BIGINT) AS created_at, CAST({now} AS BIGINT) AS updated_at
 FROM nation
@@ -115,8 +121,8 @@ FROM nation
 
 SCHEDULE_RUN = """
 SELECT o_orderkey + 1 AS id, concat('nation_', CAST(c_nationkey AS {text})) AS schedule_key, {local_at} AS local_occurrence, due AS scheduled_for, due + 250 AS materialized_at,
-       CASE o_orderstatus WHEN 'F' THEN 'started' WHEN 'O' THEN 'skipped' ELSE 'coalesced' END AS status,
-       CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN 'misfire_grace' ELSE 'run_latest' END AS reason, CAST(NULL AS INT) AS actor_id,
+       CASE WHEN o_orderstatus = 'O' AND o_orderkey % 40 = 7 THEN 'queued' WHEN o_orderstatus = 'F' THEN 'started' WHEN o_orderstatus = 'O' THEN 'skipped' ELSE 'coalesced' END AS status,
+       CASE WHEN o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_orderkey % 40 = 7 THEN NULL WHEN o_orderstatus = 'O' THEN 'misfire_grace' ELSE 'run_latest' END AS reason, CAST(NULL AS INT) AS actor_id,
        CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 250 + 1 END AS workflow_id, due AS created_at
 FROM (SELECT o.*, c_nationkey, {ms_date} + 1000 * (o_orderkey % 86400) AS due FROM orders o JOIN customer ON o_custkey = c_custkey) o
 """
@@ -131,7 +137,7 @@ FROM (
   FROM (
     SELECT id AS workflow_id, CAST(0 AS BIGINT) AS activity_id, 0 AS part, 'started' AS event_type, '{{}}' AS metadata_json, created_at FROM workflow
     UNION ALL SELECT workflow_id, id, 1, 'activity_scheduled', concat('{{"data":{{"command_sequence":', CAST(command_sequence AS {text}), '}}}}'), created_at FROM activity
-    UNION ALL SELECT workflow_id, id, 2, 'activity_succeeded', concat('{{"data":{{"command_sequence":', CAST(command_sequence AS {text}), '}}}}'), completed_at FROM activity WHERE status = 'succeeded'
+    UNION ALL SELECT workflow_id, id, 2, 'activity_succeeded', concat('{{"data":{{"command_sequence":', CAST(command_sequence + CASE WHEN id % 97 = 1 THEN 50 ELSE 0 END AS {text}), '}}}}'), completed_at FROM activity WHERE status = 'succeeded'
   ) l
 ) e
 """
@@ -147,7 +153,7 @@ SQL = {
 def _filled(text: str, words: dict) -> str:
     return text.format(
         now=NOW, div=words["div"], k=words["k"], ms_ts=words["ms"].format("ts"), ms_date=words["ms"].format("o_orderdate"), text="STRING" if words is SPARK else "VARCHAR",
-        repeat_attempts=words["repeat"].format("attempt_count"), repeat_progress=words["repeat"].format("CAST(activity_id % 4 AS INT)"), local_at=words["local"].format("due"),
+        repeat_attempts=words["repeat"].format("attempt_count"), repeat_progress=words["repeat"].format("CAST(activity_id % 4 AS INT)"), local_at=words["local"].format("(CASE WHEN o_orderkey % 20 = 0 THEN due - due % 2592000000 ELSE due END)"),
     )
 
 

@@ -49,15 +49,32 @@ def test_truncate_bytes(spark):
 def test_backoff_matches_integers(spark):
     import hashlib
 
-    cases = [(i, m, j, n) for i in (1, 500, 10**12) for m in (60_000, 2**62) for j in (0, 20, 100) for n in (1, 2, 7, 70)]
-    rows = [(f'{{"Exponential":{{"initial_delay_millis":{i},"max_delay_millis":{m},"jitter_percent":{j}}}}}', n) for i, m, j, n in cases if m < 2**40 or j == 0]
-    df = spark.createDataFrame(rows, "p string, n int")
-    got = [r[0] for r in df.select(exprs.backoff(F.col("p"), F.col("n"), F.concat(F.lit("s"), F.col("n").cast("string")))).collect()]
-    for (i, m, j, n), g in zip([c for c in cases if c[1] < 2**40 or c[2] == 0], got, strict=True):
+    cases = [(i, m, j, n) for i in (1, 40, 10**12) for m in (60, 300, exprs.MOST_DELAY) for j in (0, 20, 100) for n in (1, 2, 7, 70) if i <= m]
+    rows = [(f'{{"backoff":{{"Exponential":{{"initial_secs":{i},"max_secs":{m},"jitter_percent":{j}}}}}}}', n) for i, m, j, n in cases]
+    delay = exprs.backoff(F.col("p"), F.col("n"), F.concat(F.lit("s"), F.col("n").cast("string")))
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, n int").select(delay).collect()]
+    for (i, m, j, n), g in zip(cases, got, strict=True):
         base = min(i * 2 ** (n - 1), m)
         h = hashlib.sha256(f"s{n}".encode()).digest()
-        swing = base * j * (2 * ((h[0] + 256 * h[1]) % 101) - 100)
-        assert g == max(0, base + (swing // 10_000 if swing >= 0 else -(-swing // 10_000))), (i, m, j, n)
+        x = base * j // 100 * (2 * ((h[0] + 256 * h[1]) % 101) - 100)
+        assert g == 1000 * max(0, base + (x // 100 if x >= 0 else -(-x // 100))), (i, m, j, n)
+
+
+def test_backoff_by_hand_and_out_of_bounds(spark):
+    plain = '{"backoff":{"Exponential":{"initial_secs":%d,"max_secs":%d,"jitter_percent":%d}}}'
+    rows = [('{"backoff":{"Fixed":{"delay_secs":12}}}', 3), (plain % (5, 60, 0), 1), (plain % (5, 60, 0), 9)]
+    rows += [(x, 1) for x in ('{"backoff":{"Fixed":{"delay_secs":0}}}', '{"backoff":{"Fixed":{"delay_secs":18446744073709551615}}}', plain % (0, 1, 0), plain % (5, 1, 0), plain % (1, 2, 101), "{}", "no", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, n int").select(exprs.backoff(F.col("p"), F.col("n"), F.lit("x"))).collect()]
+    assert got == [12_000, 5_000, 60_000] + [None] * 8
+
+
+def test_keys(spark):
+    keys = ["a", "a.", "a-b", "a_b", "_a", "a_", "a__b", "A", "", "1.2", "é"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = df.select(exprs.valid_topic_key(F.col("k")), exprs.valid_schedule_key(F.col("k"))).collect()
+    assert [k for k, r in zip(keys, got, strict=True) if r[0]] == ["a", "a.", "a-b", "a_b", "a_", "a__b", "1.2"]
+    assert [k for k, r in zip(keys, got, strict=True) if r[1]] == ["a", "a_b"]
+
 
 
 def test_hours_round_down(spark):
@@ -107,10 +124,10 @@ def test_overlap(spark, policy, want):
 
 
 def test_finish_plan(spark):
-    act = spark.createDataFrame([(1, "running", 1, 3), (2, "running", 3, 3), (3, "cancelling", 1, 3), (4, "running", 1, 3)], "id long, status string, attempt_count int, max_attempts int").withColumn("retry_policy_json", F.lit('{"Fixed":{"delay_millis":5}}'))
+    act = spark.createDataFrame([(1, "running", 1, 3), (2, "running", 3, 3), (3, "cancelling", 1, 3), (4, "running", 1, 3)], "id long, status string, attempt_count int, max_attempts int").withColumn("retry_policy_json", F.lit('{"backoff":{"Fixed":{"delay_secs":5}}}'))
     out = spark.createDataFrame([(1, "retryable"), (2, "retryable"), (3, "succeeded"), (4, "succeeded")], "activity_id long, outcome string")
     got = {r.activity_id: (r.to_status, r.available_at) for r in work.finish_plan(out, act, 100).collect()}
-    assert got == {1: ("pending", 105), 2: ("dead_lettered", None), 3: ("cancelled", None), 4: ("succeeded", None)}
+    assert got == {1: ("pending", 5100), 2: ("dead_lettered", None), 3: ("cancelled", None), 4: ("succeeded", None)}
 
 
 def test_replay_fails_closed(spark):
@@ -150,3 +167,27 @@ def test_streaming_dedup(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("dedup").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination()
     assert spark.table("dedup").count() == 2
+
+
+def test_closures_end_at_cycles(spark):
+    from flowlens.operators.lineage import _closure
+
+    step = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "id long, next long")
+    start = spark.createDataFrame([(1, 1, 0), (7, 7, 0)], "origin long, id long, depth int")
+    got = sorted((r.origin, r.id) for r in _closure(start, step, "all").collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (7, 7), (7, 8)]
+
+
+def test_operators_plans(spark):
+    wf = spark.createDataFrame([(1, "flow", 1, "paused", "approval", 5), (2, "flow", 1, "paused", "child", 3), (3, "flow", 1, "failed", None, None), (4, "flow", 1, "paused", "activity", 9), (5, "flow", 1, "paused", None, None), (6, "flow", 2, "waiting_approval", "approval", 6), (7, "flow", 1, "paused", "activity", 99)], "id long, kind string, version int, status string, wait_kind string, wait_reference_id long")
+    act = spark.createDataFrame([(9, "cancelled")], "id long, status string")
+    appr = spark.createDataFrame([(5, 1, "resolved", None, "flow", 1), (6, 6, "pending", None, "flow", 1), (7, 6, "pending", 50, "flow", 2)], "id long, workflow_id long, status string, expires_at long, kind string, version int")
+    got = {r.workflow_id: r.to_status or r.refusal for r in work.resume_plan(wf, act, appr).collect()}
+    assert got == {1: "ready", 2: "failed_child", 4: "cancelled_activity", 5: "ready", 7: "missing_activity"}
+    assert {r.approval_id: r.decision for r in work.approval_plan(appr, wf, 100).collect()} == {5: "already_resolved", 6: "no_longer_matches", 7: "expired"}
+
+
+def test_in_flight_counts_unsettled_leases(spark):
+    act = spark.createDataFrame([(1, "t", "running", 200), (2, "t", "running", 50), (3, "t", "running", 50), (4, "t", "pending", None)], "id long, topic string, status string, lease_expires_at long")
+    assert [r.in_flight for r in work.in_flight(act, 100).collect()] == [1]
+    assert [r.in_flight for r in work.in_flight(act, 100, act.where("id = 2").select("id")).collect()] == [2]
