@@ -27,11 +27,11 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return written(df, name)[0]
 
 
-def written(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
-    """As :func:`cut`, with the path."""
+def written(df: DataFrame, name: str = "t", *by: str) -> tuple[DataFrame, str]:
+    """As :func:`cut`, with the path; a folder for each value of ``by``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowlens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -20,10 +20,15 @@ def shared_members(sig: DataFrame) -> DataFrame:
     few groups. Members are shuffled once, by bucket: where they arrive, an aggregate finds the leads, and a hash join
     with the few buckets of two or more gives their members and drops all others.
     """
+    return bucket_members(sig).select("lead", "ent").distinct()
+
+
+def bucket_members(sig: DataFrame) -> DataFrame:
+    """As :func:`shared_members`, with each ``bucket``."""
     n = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = sig.select("bucket", "ent").repartition(n, "bucket")
     leads = dealt.groupBy("bucket").agg(F.min("ent").alias("lead"), F.max("ent").alias("last")).where("lead < last").select("bucket", "lead")
-    return dealt.join(leads.hint("shuffle_hash"), "bucket").where("ent <> lead").select("lead", "ent").distinct()
+    return dealt.join(leads.hint("shuffle_hash"), "bucket").where("ent <> lead").select("bucket", "lead", "ent")
 
 
 def with_leads(pairs: DataFrame) -> DataFrame:
@@ -64,21 +69,26 @@ def first_lists(members: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     return small.unionByName(_not_covered(lists)), rest.where(F.col("n") > cap)
 
 
-def stray_lists(big: DataFrame, labels: DataFrame, cap: int) -> DataFrame:
-    """The rest of the large groups: all members that are not yet connected to their group's lead, with all other members.
+def with_components(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
+    """Add ``out``: the component of ``column``, which is itself if nothing is linked to it."""
+    of = labels.select(F.col("ent").alias("__ent"), F.col("comp").alias("__comp"))
+    return df.join(of, F.col(column) == F.col("__ent"), "left").withColumn(out, F.coalesce("__comp", F.col(column))).drop("__ent", "__comp")
+
+
+def stray_lists(big: DataFrame, labels: DataFrame, cap: int, key: str = "lead") -> DataFrame:
+    """The rest of the large groups (by ``key``): all members that are not yet connected to their lead, with all other members.
 
     Both are dealt to parts, and each pair of parts is a list; so every pair of which one is a stray is in one list.
     """
-    of = labels.select(F.col("ent").alias("__ent"), "comp")
-    label = lambda df, key, out: df.join(of, F.col(key) == F.col("__ent"), "left").withColumn(out, F.coalesce("comp", F.col(key))).drop("__ent", "comp")
-    known = label(label(big, "ent", "own"), "lead", "theirs")
-    strays = known.where("own <> theirs").select("lead", "ent")
-    count = strays.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / (cap / 2)).alias("s_parts"))
-    open_ = big.join(count, "lead").withColumn("parts", F.ceil(F.col("n") / (cap / 2)))
+    known = with_components(with_components(big, labels, "ent", "own"), labels, "lead", "theirs")
+    strays = known.where("own <> theirs").select(key, "ent")
+    count = strays.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / (cap / 2)).alias("s_parts"))
+    open_ = big.join(count, key).withColumn("parts", F.ceil(F.col("n") / (cap / 2)))
     home = lambda parts: F.pmod(F.xxhash64("ent", F.lit(7)), F.col(parts))
-    all_ = open_.select("lead", "ent", home("parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s_parts") - 1)).alias("s_part"))
-    odd = open_.join(strays, ["lead", "ent"], "left_semi").select("lead", "ent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), home("s_parts").alias("s_part"))
-    return all_.unionByName(odd).groupBy("lead", "part", "s_part").agg(F.array_sort(F.collect_set("ent")).alias("ents")).where(F.size("ents") > 1).select(F.xxhash64("ents").alias("list"), "ents").dropDuplicates(["list"])
+    all_ = open_.select(key, "ent", home("parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s_parts") - 1)).alias("s_part"))
+    odd = open_.join(strays, [key, "ent"], "left_semi").select(key, "ent", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), home("s_parts").alias("s_part"))
+    lists = all_.unionByName(odd).groupBy(key, "part", "s_part").agg(F.array_sort(F.collect_set("ent")).alias("ents"))
+    return lists.where(F.size("ents") > 1).select(F.xxhash64("ents").alias("list"), "ents").dropDuplicates(["list"])
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -6,12 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._base import SPACE_RE, cut, texts
-from ._cluster import components
-
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once, however often ``use`` has it, also inside lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+from ._base import SPACE_RE, cut, drop_path, may_be_in, texts, written
+from ._cluster import bucket_members, connected, stray_lists, with_components
 
 
 def pieces(text: Column) -> Column:
@@ -19,20 +15,32 @@ def pieces(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def has_word(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))
-
-
 def folded(line: Column) -> Column:
     """Lines are compared in lower case, without white space at the ends and with one space for each run of it inside."""
-    return F.btrim(F.lower(F.regexp_replace(line, f"{SPACE_RE}+", " ")))
+    # Most lines have single spaces alone, which is told much faster than the pattern replaces.
+    odd = line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.btrim(F.lower(F.when(odd, F.regexp_replace(line, f"{SPACE_RE}+", " ")).otherwise(line)))
+
+
+def wide(line: Column) -> Column:
+    """A line with four bytes for each character, so that a shingle is found by its place."""
+    return F.encode(line, "UTF-32")
+
+
+def shingle(wide_line: Column, place: Column, width: int) -> Column:
+    """Hash of the character shingle at ``place``, from 0; of a shorter line, of all of it."""
+    return F.xxhash64(F.substring(wide_line, place * 4 + 1, F.lit(4 * width)))
+
+
+def places(line: Column, width: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.length(line) - width, F.lit(0)))
 
 
 def shingles(line: Column, width: int) -> Column:
-    """All distinct character shingles, as hashes; a shorter line is one shingle."""
-    # One pass of the pattern; substrings by position would each count characters from the line's start.
-    grams = F.when(F.length(line) <= width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1)))
-    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    """All distinct shingles of a line."""
+    return F.array_distinct(F.transform(places(line, width), lambda i: shingle(wide(line), i, width)))
 
 
 def banding(num: int, den: int, miss: float = 0.01, most: int = 12) -> tuple[int, int]:
@@ -47,65 +55,81 @@ def banding(num: int, den: int, miss: float = 0.01, most: int = 12) -> tuple[int
     return bands(rows), rows
 
 
-def signatures(said: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``ent, bands`` of each distinct line: of each hash function the least value over its shingles, ``rows`` of them a band.
+#: Of 60 bits, one of each hash function's least value, two lines at a similarity of 0.8 differ in 6 on average; the odds of more than this are under 1 in 10^5.
+MOST_BITS = 18
+
 
-    Shingles are rows while their hashes are taken, as plain columns are many times faster than lambdas. A line's
-    shingles are made where its group is, so they are not shuffled.
+def signatures(lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``ent, bands, bits`` of each distinct line ``ent, line``, dealt out by ``ent``.
+
+    Of each hash function the least value over the line's shingles; ``rows`` of them are a band, and ``bits`` has one
+    bit of each. A band has one hash of the shingle, whose rotations are its rows: on sets as small as a line's shingles
+    their leading bits order independently. Shingles are rows while their hashes are taken, as compiled columns are many
+    times faster than lambdas.
     """
     bands, rows = banding(num, den)
-    once = said.select(F.xxhash64("line").alias("ent"), "line").dropDuplicates(["ent"])
-    grams = once.select("ent", F.explode(shingles(F.col("line"), width)).alias("gram"))
-    least = grams.groupBy("ent").agg(*[F.min(F.xxhash64("gram", F.lit(k))).alias(f"least{k}") for k in range(bands * rows)])
-    return least.select("ent", F.array(*[F.xxhash64(F.lit(b), *[f"least{b * rows + k}" for k in range(rows)]) for b in range(bands)]).alias("bands"))
+    turned = lambda h, k: F.shiftleft(h, 12 * k).bitwiseOR(F.shiftrightunsigned(h, 64 - 12 * k)) if k else h
+    at = lines.select("ent", wide(F.col("line")).alias("w"), F.explode(places(F.col("line"), width)).alias("i"))
+    grams = at.select("ent", shingle(F.col("w"), F.col("i"), width).alias("gram"))
+    hashed = grams.select("ent", *[F.xxhash64("gram", F.lit(b)).alias(f"h{b}") for b in range(bands)])
+    least = hashed.groupBy("ent").agg(*[F.min(turned(F.col(f"h{b}"), k)).alias(f"least{b * rows + k}") for b in range(bands) for k in range(rows)])
+    bits = F.lit(0).cast("long")
+    for k in range(min(63, bands * rows)):
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"least{k}"), 20).bitwiseAND(F.lit(1).cast("long")), k))
+    return least.select("ent", F.array(*[F.xxhash64(F.lit(b), *[f"least{b * rows + k}" for k in range(rows)]) for b in range(bands)]).alias("bands"), bits.alias("bits"))
+
+
+def similar_pairs(pairs: DataFrame, lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose lines have den * intersection >= num * union of their shingles: exact, one pair a row."""
+    ends = cut(pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).distinct(), "ends")
+    known = may_be_in(lines, F.col("ent"), ends, "near").where("near").select("ent", "line")
+    of = lambda end: known.select(F.col("ent").alias(end), F.col("line").alias(f"line_{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    sets = both.select("a", "b", shingles(F.col("line_a"), width).alias("x"), shingles(F.col("line_b"), width).alias("y"))
+    return sets.where((den + num) * F.size(F.array_intersect("x", "y")) >= num * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def listed_pairs(lists: DataFrame, bits: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``a, b``: of each list ``list, ents`` the pairs that aren't connected yet and whose bits differ in ``most`` at most."""
+    rows = with_components(lists.select("list", F.explode("ents").alias("ent")).join(bits, "ent"), labels, "ent", "comp")
+    full = rows.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("ent", "bits", "comp"))).alias("m"))
+    near = lambda x, y: (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= most) & (x["comp"] != y["comp"])
+    later = lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: near(x, y)), lambda y: F.struct(x["ent"].alias("a"), y["ent"].alias("b")))
+    return full.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = 5, cap: int = 32) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, pos, ent`` of each line with a word; ``ent, comp`` of the lines that are similar to others)."""
     src = texts(docs, id_col, text_col)
     split = src.select("doc_id", F.posexplode(pieces(F.col("text"))).alias("pos", "line"))
-    said = split.where(has_word(F.col("line"))).select("doc_id", "pos", folded(F.col("line")).alias("line"))
-    lines = cut(said.select("doc_id", "pos", F.xxhash64("line").alias("ent")), "lines")
-    sig = cut(signatures(said, width, num, den), "signatures").select(F.explode("bands").alias("bucket"), "ent")
-    first = lines.groupBy("ent").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("ent", "at.doc_id", "at.pos")
-
-    def verify(lists: DataFrame) -> DataFrame:
-        rows = cut(lists.select("list", F.explode("ents").alias("ent")), "rows")
-        wanted = rows.select("ent").distinct().join(first, "ent").groupBy(F.col("doc_id").alias("__at")).agg(F.collect_list(F.struct("pos", "ent")).alias("own"))
-        found = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("__at"))).select(pieces(F.col("text")).alias("lines"), "own")
-        found = found.select(F.explode(F.transform("own", lambda o: F.struct(o["ent"].alias("ent"), F.get("lines", o["pos"]).alias("line")))).alias("o")).select("o.ent", folded(F.col("o.line")).alias("line"))
-        known = found.where(F.xxhash64("line") == F.col("ent")).dropDuplicates(["ent"])
-        full = rows.join(known, "ent").groupBy("list").agg(F.collect_list(F.struct("ent", "line")).alias("m"))
-
-        def similar(x, y):
-            # den * intersection >= num * union, for those whose sizes allow it
-            a, b = F.size(x["grams"]), F.size(y["grams"])
-            near = (den * a >= num * b) & (den * b >= num * a)
-            return near & ((den + num) * F.size(F.array_intersect(x["grams"], y["grams"])) >= num * (a + b))
-
-        def unite(m):
-            """Groups of the list's members, as places: each member with the earlier ones it is similar to, then union-find."""
-            near = F.transform(m, lambda x, i: F.filter(F.transform(F.slice(m, F.lit(1), i), lambda y, j: F.when(similar(x, y), j)), lambda j: j.isNotNull()))
-            start = F.expr("cast(array() as array<array<int>>)")
-
-            def groups(near):
-                def add(have, i):
-                    def merged(mine):
-                        hit = lambda g: F.arrays_overlap(g, mine)
-                        return F.concat(F.filter(have, lambda g: ~hit(g)), F.array(F.concat(F.flatten(F.filter(have, hit)), F.array(i))))
-
-                    return let(F.get(near, i), merged)
-
-                return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, add)
-
-            return let(near, groups)
-
-        sets = F.transform("m", lambda x: F.struct(x["ent"].alias("ent"), shingles(x["line"], width).alias("grams")))
-        groups = full.select(F.transform("m", lambda x: x["ent"]).alias("ids"), let(sets, unite).alias("groups")).select("ids", F.explode("groups").alias("g")).where(F.size("g") > 1)
-        ends = F.transform(F.slice("g", F.lit(2), F.size("g")), lambda i: F.struct(F.get("ids", F.get("g", F.lit(0))).alias("a"), F.get("ids", i).alias("b")))
-        return groups.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct()
-
-    return lines, components(sig, verify, cap)
+    said = split.select("doc_id", "pos", folded(F.col("line")).alias("line")).where("line <> ''").withColumn("ent", F.xxhash64("line"))
+    occurrences = cut(said.select("doc_id", "pos", "ent"), "occurrences")
+    # Distinct lines are shuffled once; both branches read that shuffle.
+    once = said.select("ent", "line").dropDuplicates(["ent"])
+    sig = signatures(once, width, num, den)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = once.select("ent", "line", none(sig, "bands"), none(sig, "bits"), F.lit("line").alias("kind")).unionByName(sig.select("ent", none(once, "line"), "bands", "bits", F.lit("sig").alias("kind")))
+    found, path = written(both, "lines", "kind")
+    lines, sig = found.where("kind = 'line'").select("ent", "line"), found.where("kind = 'sig'").select("ent", "bands", "bits")
+    bits = cut(sig.select("ent", "bits"), "bits")
+    members = cut(bucket_members(sig.select(F.explode("bands").alias("bucket"), "ent")), "members")
+    drop_path(docs.sparkSession, f"{path}/kind=sig")
+
+    # 1. Each member against the lead of its bucket; bits tell most lines that share a band by chance.
+    most = MOST_BITS * banding(num, den)[0] * banding(num, den)[1] // 60 if num < den else 0
+    own = lambda end: bits.select(F.col("ent").alias(end), F.col("bits").alias(f"bits_{end}"))
+    stars = members.select(F.col("lead").alias("a"), F.col("ent").alias("b")).distinct().join(own("b"), "b").join(own("a"), "a")
+    stars = cut(stars.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= most).select("a", "b"), "stars")
+    links = cut(similar_pairs(stars, lines, width, num, den), "links")
+    labels = connected(links)
+    # 2. In buckets of three and more, what isn't connected to the lead is held against all other members.
+    sizes = members.groupBy("bucket").agg((F.count_distinct("ent") + 1).alias("n")).where("n > 2")
+    large = members.select("bucket", "lead", "ent").unionByName(members.select("bucket", "lead", F.col("lead").alias("ent"))).distinct().join(sizes, "bucket")
+    lists = cut(stray_lists(large, labels, cap, "bucket"), "strays")
+    more = cut(listed_pairs(lists, bits, labels, most), "pairs")
+    if more.isEmpty():
+        return occurrences, labels
+    return occurrences, connected(links.unionByName(cut(similar_pairs(more, lines, width, num, den), "links")))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -117,9 +141,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     position), all others are removed. ``removed`` has their positions in ascending order, from 0.
 
     Lines that are equal are one from the start. MinHash signatures of the same shingles put similar lines into common
-    buckets (see :func:`banding`), which are verified by exact Jaccard in lists of at most ``cap`` lines; a large bucket
-    is several lists, and what isn't connected to its first line is then held against all of it. Bands find more than
-    99 of 100 similar pairs, of short lines, of one word and of scripts without spaces too.
+    buckets (see :func:`banding`). Each line is held against its bucket's first line, by exact Jaccard; what is not
+    connected to it is then held against all of the bucket, in lists of at most ``cap`` lines. Bands find more than
+    99 of 100 similar pairs, of short lines, of one word and of scripts without spaces too; bits of the signature,
+    which differ in far fewer places for similar lines, spare most of the exact work (see :data:`MOST_BITS`).
 
     A null text has one empty line. Rows that repeat an id are one document whose lines count once for each row and
     share their fate by position. Very long lines and texts are handled whole. An empty table gives an empty result,
