@@ -10,6 +10,11 @@ from ._base import SPACE_RE, cut, drop_path, may_be_in, texts, written
 from ._cluster import bucket_members, connected, stray_lists, with_components
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` has it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pieces(text: Column) -> Column:
     """The lines of a text: what lies between line feeds."""
     return F.split(text, "\n", -1)
@@ -40,7 +45,7 @@ def places(line: Column, width: int) -> Column:
 
 def shingles(line: Column, width: int) -> Column:
     """All distinct shingles of a line."""
-    return F.array_distinct(F.transform(places(line, width), lambda i: shingle(wide(line), i, width)))
+    return F.array_distinct(let(wide(line), lambda w: F.transform(places(line, width), lambda i: shingle(w, i, width))))
 
 
 def banding(num: int, den: int, miss: float = 0.01, most: int = 12) -> tuple[int, int]:
@@ -69,7 +74,8 @@ def signatures(lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """
     bands, rows = banding(num, den)
     turned = lambda h, k: F.shiftleft(h, 12 * k).bitwiseOR(F.shiftrightunsigned(h, 64 - 12 * k)) if k else h
-    at = lines.select("ent", wide(F.col("line")).alias("w"), F.explode(places(F.col("line"), width)).alias("i"))
+    # Two selects: what stands beside an explode is worked out anew for each of its rows.
+    at = lines.select("ent", "line", wide(F.col("line")).alias("w")).select("ent", "w", F.explode(places(F.col("line"), width)).alias("i"))
     grams = at.select("ent", shingle(F.col("w"), F.col("i"), width).alias("gram"))
     hashed = grams.select("ent", *[F.xxhash64("gram", F.lit(b)).alias(f"h{b}") for b in range(bands)])
     least = hashed.groupBy("ent").agg(*[F.min(turned(F.col(f"h{b}"), k)).alias(f"least{b * rows + k}") for b in range(bands) for k in range(rows)])
