@@ -115,9 +115,10 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def components(sig: DataFrame, verify: Callable[[DataFrame], DataFrame], cap: int) -> DataFrame:
-    """``ent, comp`` of all ents that are linked. ``verify`` makes links ``a, b`` out of lists ``list, ents``."""
+def components(sig: DataFrame, verify: Callable[[DataFrame], DataFrame], cap: int, grouped: Callable[[], None] = lambda: None) -> DataFrame:
+    """``ent, comp`` of all ents that are linked. ``verify`` makes links ``a, b`` out of lists ``list, ents``; ``grouped`` is called when ``sig`` is no longer needed."""
     members = with_leads(cut(shared_members(sig), "shared"))
+    grouped()
     lists, big = first_lists(members, cap)
     links = cut(verify(lists), "links")
     labels = connected(links)

@@ -8,7 +8,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._base import cut, may_be_in, texts
+from ._base import cut, drop_path, may_be_in, texts, written
 from ._cluster import components
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -172,11 +172,16 @@ def trie_links(sets: list[np.ndarray], num: int, den: int):
         stack += [(a, b, depth, probes, overlap) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def shingle_sets(docs: DataFrame, width: int, num: int, den: int, what: str) -> DataFrame:
-    """Of each row ``doc_id, text``: ``doc_id, n, ent`` (the set's size and digest), with ``buckets`` or ``grams`` as ``what`` says.
+def digest(grams: np.ndarray) -> int | None:
+    """64 bits that stand for a set; null for the empty one."""
+    return int(_mix(np.add.reduce(_mix(grams ^ _C2), keepdims=True) + np.uint64(len(grams)))[0].astype(np.int64)) if len(grams) else None
 
-    Of equal sets in one task, the first has its buckets or grams, the others null; so a large group of copies is as
-    many rows with them as tasks.
+
+def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Of each row ``doc_id, text``: ``doc_id, n, ent, buckets``: the set's size, its digest and its keys.
+
+    Of equal sets in one task, the first has its keys, the others null; so a large group of copies is as many rows with
+    keys as tasks.
     """
 
     def run(batches):
@@ -190,20 +195,14 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, what: str) ->
                 for raw in part.column(1).cast(pa.binary()).to_pylist():
                     grams = shingle(raw)
                     n.append(len(grams))
-                    ent.append(int(_mix(np.add.reduce(_mix(grams ^ _C2), keepdims=True) + np.uint64(len(grams)))[0].astype(np.int64)) if len(grams) else None)
-                    if not what or ent[-1] in known:
-                        more.append(None)
-                        continue
+                    ent.append(digest(grams))
+                    more.append(None if ent[-1] in known else path_segments(grams, num, den).view(np.int64))
                     known.add(ent[-1])
-                    more.append(path_segments(grams, num, den).view(np.int64) if what == "buckets" else grams.tobytes())
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ent, pa.int64())]
-                if what:
-                    cols.append(pa.array(more, pa.list_(pa.int64()) if what == "buckets" else pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "ent", *([what] if what else [])])
+                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ent, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "ent", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tail = {"buckets": ", buckets array<long>", "grams": ", grams binary"}.get(what, "")
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, ent long{tail}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, ent long, buckets array<long>")
 
 
 def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", cap: int = 256) -> DataFrame:
@@ -219,7 +218,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     pruning by remaining length (:func:`trie_links`), and give no more links than connect them. Shards of more than
     ``cap`` sets are dealt to several lists, first with the shard's lead in each, then all sets that are not yet
     connected to it against all others, so no pair goes unseen. Segments' keys are written to the shared folder, 8 bytes
-    for each, as the shuffle that follows is read twice and could not be shared by two passes over the texts.
+    for each, until they are grouped, as the shuffle that follows is read twice and could not be shared by two passes
+    over the texts.
 
     Null and empty texts have no set, link with nothing and are components of their own. Repeated rows share a
     component; ties go to the smallest id; a null id takes its component's smallest id. An empty table gives an empty
@@ -227,44 +227,49 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     n^2 / 2^65.
     """
     src = texts(docs, id_col, text_col)
-    own = cut(shingle_sets(src, width, num, den, "buckets"), "sets")
-    sig = own.select(F.explode("buckets").alias("bucket"), "ent")
+    keyed, keyed_path = written(shingle_sets(src, width, num, den), "sets")
+    own = cut(keyed.select("doc_id", "n", "ent"), "own")
+    sig = keyed.select(F.explode("buckets").alias("bucket"), "ent")
     keepers = own.where("ent IS NOT NULL").groupBy("ent").agg(F.min("doc_id").alias("keeper"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def verify(lists: DataFrame) -> DataFrame:
-        rows = cut(lists.select("list", F.explode("ents").alias("ent")), "rows")
-        # A class all of whose rows have no id has a null keeper; xxhash64 of null is a number like any other.
-        wanted = cut(rows.select("ent").distinct().join(keepers, "ent").select("keeper"), "wanted")
-        near = may_be_in(src, F.xxhash64("doc_id"), wanted.select(F.xxhash64("keeper")), "near").where("near").select("doc_id", "text")
-        some = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
-        grams = shingle_sets(some, width, num, den, "grams").where("grams IS NOT NULL").select("ent", "grams").dropDuplicates(["ent"])
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-        def links(batches):
-            import pyarrow as pa
-
-            now, ents, sets = None, [], []
-
-            def done():
-                if len(ents) > 1:
-                    for i, j in trie_links(sets, num, den):
-                        yield ents[i], ents[j]
-
-            for b in batches:
-                out = []
-                for row in b.to_pylist():
-                    if row["list"] != now:
-                        out += done()
-                        now, ents, sets = row["list"], [], []
-                    ents.append(row["ent"])
-                    sets.append(np.frombuffer(row["grams"], np.uint64))
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-            out = list(done())
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+    def links(batches):
+        """Links of rows ``list, ent, text`` that lie together by list. A text under the keeper's id that isn't the ent's is left out."""
+        import pyarrow as pa
+
+        now, sets, shingle = None, {}, Shingler(width)
 
-        return rows.join(grams, "ent").select("list", "ent", "grams").repartition(n, "list").sortWithinPartitions("list").mapInArrow(links, "a long, b long").distinct()
+        def done():
+            ents = list(sets)
+            return [(ents[i], ents[j]) for i, j in trie_links(list(sets.values()), num, den)] if len(ents) > 1 else []
 
-    labels = components(sig, verify, cap)
+        def batch(out):
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+        for b in batches:
+            out = []
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                for at, ent, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                    if at != now:
+                        out += done()
+                        now, sets = at, {}
+                    grams = shingle(raw)
+                    if digest(grams) == ent:
+                        sets[ent] = grams
+            yield batch(out)
+        yield batch(done())
+
+    def verify(lists: DataFrame) -> DataFrame:
+        # A class all of whose rows have no id has a null keeper; xxhash64 of null is a number like any other.
+        rows = cut(lists.select("list", F.explode("ents").alias("ent")).join(keepers, "ent"), "rows")
+        ids = cut(rows.select(F.xxhash64("keeper").alias("h")).distinct(), "wanted")
+        near = may_be_in(src, F.xxhash64("doc_id"), ids, "near").where("near").select("doc_id", "text")
+        # Texts are shuffled, which are shorter than their n-grams' hashes.
+        full = near.join(rows, F.col("doc_id").eqNullSafe(F.col("keeper"))).select("list", "ent", "text")
+        return full.repartition(n, "list").sortWithinPartitions("list").mapInArrow(links, "a long, b long").distinct()
+
+    labels = components(sig, verify, cap, lambda: drop_path(docs.sparkSession, keyed_path))
     labelled = own.join(labels, "ent", "left").withColumn("comp", F.coalesce("comp", "ent"))
     least = labelled.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
