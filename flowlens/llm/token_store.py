@@ -79,16 +79,20 @@ class PieceEncoder:
         # The line feed goes on with its piece.
         lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         flat = lists.flatten().dictionary_encode()
-        codes, pieces = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        # Through numpy, as Arrow's own to_pylist is several times slower.
+        codes, pieces = flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         size = pc.list_value_length(lists).to_numpy()
         starts = np.cumsum(size) - size
         if 2 * len(self.known) > self.most:
             self.known, self.before = {}, self.known
-        new = [p for p in pieces if p not in self.known]
-        old = [self.before.get(p) for p in new]
+        parts = list(map(self.known.get, pieces))
+        missing = [k for k, x in enumerate(parts) if x is None]
+        new = [pieces[k] for k in missing]
+        old = list(map(self.before.get, new))
         self.known.update((p, x) for p, x in zip(new, old, strict=True) if x is not None)
         self._learn([p for p, x in zip(new, old, strict=True) if p and x is None])
-        parts = [self.known.get(p, b"") for p in pieces]
+        for k, p in zip(missing, new, strict=True):
+            parts[k] = self.known.get(p, b"")
         # What stands first in each text: all of it, or the piece before any white space.
         heads = [pieces[k] for k in codes[starts].tolist()]
         heads = [x if w else h for x, w, h in zip(texts, whole.tolist(), heads, strict=True)]
@@ -98,7 +102,7 @@ class PieceEncoder:
         codes = codes.astype(np.int64)
         codes[starts] = every
         codes = np.insert(codes, starts + size, len(parts) - 1)
-        length = np.array([len(x) // 2 for x in parts])
+        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
         begin = np.cumsum(length) - length
         n = length[codes]
         ends = np.cumsum(n)
