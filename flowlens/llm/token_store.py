@@ -17,6 +17,8 @@ WIDTH, LIMIT = "<u2", 1 << 16
 #: Texts in which all white space is like that are cut there; others are encoded as they are. In the vocabulary these
 #: two characters stand for themselves as follows.
 BEGIN = {" ": "\u0120", "\n": "\u010a"}
+#: White space that isn't like that, for Arrow's regular expressions: at an end, next to another, or another character of Unicode's.
+ODD_SPACE = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class PieceEncoder:
@@ -73,9 +75,10 @@ class PieceEncoder:
         if not len(column):
             return np.zeros(0, WIDTH), np.zeros(0, np.int64)
         # Texts with other white space than single spaces and line feeds between characters are encoded as they are.
-        texts = column.to_pylist()
-        whole = np.fromiter((not x or " ".join(x.split()) != x.replace("\n", " ") for x in texts), bool, len(texts))
-        column = pc.if_else(pa.array(whole), "", column)
+        odd = pc.or_(pc.equal(column, ""), pc.match_substring_regex(column, ODD_SPACE))
+        whole = odd.to_numpy(zero_copy_only=False)
+        uncut = iter(column.filter(odd).to_pylist())
+        column = pc.if_else(odd, "", column)
         # The line feed goes on with its piece.
         lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         flat = lists.flatten().dictionary_encode()
@@ -94,8 +97,7 @@ class PieceEncoder:
         for k, p in zip(missing, new, strict=True):
             parts[k] = self.known.get(p, b"")
         # What stands first in each text: all of it, or the piece before any white space.
-        heads = [pieces[k] for k in codes[starts].tolist()]
-        heads = [x if w else h for x, w, h in zip(texts, whole.tolist(), heads, strict=True)]
+        heads = [next(uncut) if w else pieces[k] for k, w in zip(codes[starts].tolist(), whole.tolist(), strict=True)]
         every = len(parts) + np.arange(len(heads))
         parts += [np.array(e.ids, WIDTH).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
         parts.append(tail)
